@@ -94,8 +94,10 @@ def fit_stacker(wide: DataFrame, models: list[str], alphas=ALPHAS, folds: int =
     """
     columns = [*models, "actual"]
     means = wide.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("m")).scalar()
-    parts = contiguous_folds(wide, folds, **sizing).select(
-        "fold", *[(F.col(c) - means[c]).alias(c) for c in columns]
+    parts = (
+        contiguous_folds(wide, folds, **sizing)
+        .select("*", means.alias("_means"))
+        .select("fold", *[(F.col(c) - F.col(f"_means.{c}")).alias(c) for c in columns])
     )
     k = len(models)
     products = [

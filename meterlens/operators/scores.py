@@ -166,10 +166,13 @@ def add_standardised(
 ) -> DataFrame:
     """Standardised copies of the columns, statistics from ``fit_on``."""
     stats = scaler_row(df if fit_on is None else fit_on, columns)
-    return df.select(
-        "*",
+    # The statistics enter as one column, so the plan holds the subquery once.
+    return df.select("*", stats.alias("_stats")).select(
+        *df.columns,
         *[
-            standardise(F.col(c), stats[c]["mean"], stats[c]["std"]).alias(c + suffix)
+            standardise(F.col(c), F.col(f"_stats.{c}.mean"), F.col(f"_stats.{c}.std")).alias(
+                c + suffix
+            )
             for c in columns
         ],
     )

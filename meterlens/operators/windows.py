@@ -15,6 +15,7 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from meterlens.config import LAGS, LOOKBACK, ROLLING, TARGET
+from meterlens.operators.fills import fill_zero_prefixed
 from meterlens.session import SMALL_BYTES, bounded_broadcast, is_small
 
 SPLIT_ABOVE = 250_000
@@ -97,10 +98,8 @@ def history_windows(
 
 
 def lag_columns(w: WindowSpec, target: str = TARGET, lags: list[int] = LAGS) -> dict[str, Column]:
-    """Value ``k`` rows earlier; 0 before the start of the history."""
-    return {
-        f"lag_{k}h": F.coalesce(F.lag(target, k).over(w), F.lit(0.0)) for k in lags
-    }
+    """Value ``k`` rows earlier; NULL before the start of the history."""
+    return {f"lag_{k}h": F.lag(target, k).over(w) for k in lags}
 
 
 def rolling_columns(
@@ -113,8 +112,8 @@ def rolling_columns(
     columns = {}
     for n in sizes:
         frame = w.rowsBetween(1 - n, 0) if include_current else w.rowsBetween(-n, -1)
-        columns[f"rolling_mean_{n}h"] = F.coalesce(F.avg(target).over(frame), F.lit(0.0))
-        columns[f"rolling_std_{n}h"] = F.coalesce(F.stddev_samp(target).over(frame), F.lit(0.0))
+        columns[f"rolling_mean_{n}h"] = F.avg(target).over(frame)
+        columns[f"rolling_std_{n}h"] = F.stddev_samp(target).over(frame)
     return columns
 
 
@@ -127,8 +126,8 @@ def add_history_features(
     include_current: bool = True,
     **splitting,
 ) -> DataFrame:
-    """All lag and rolling features from one shuffle and one sort."""
-    return history_windows(
+    """All lag and rolling features from one shuffle and one sort; gaps are 0."""
+    with_gaps = history_windows(
         df,
         list(keys),
         lambda w: {
@@ -138,6 +137,7 @@ def add_history_features(
         halo=max([*lags, *rolling, 1]),
         **splitting,
     )
+    return fill_zero_prefixed(with_gaps)
 
 
 def add_sequences(

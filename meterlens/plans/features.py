@@ -6,22 +6,25 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType
 
-from meterlens.config import ABLATION_GROUPS, BUILDING_FEATURES, TARGET
+from meterlens.config import ABLATION_GROUPS, TARGET
 from meterlens.functions.calendar import add_holiday_flag, add_time_features, holiday_calendar
-from meterlens.operators.fills import fill_medians, fill_weather, fill_zero_prefixed
+from meterlens.operators.fills import fill_medians, fill_weather
 from meterlens.operators.filters import lodging, select_readings
 from meterlens.operators.joins import enrich
 from meterlens.operators.ranks import chronological_split
 from meterlens.operators.windows import add_history_features
 
 # Columns that are never model inputs (fixed values).
-NOT_FEATURES = ["building_id", "site_id", "timestamp", "meter", TARGET, "meter_reading_log",
-                "primary_use", "is_val"]
+NOT_FEATURES = [
+    TARGET, "meter_reading_log", "timestamp", "building_id", "meter", "site_id",
+    "row_id", "primary_use", "is_val",
+]
 NUMERIC = (DoubleType, FloatType, IntegerType, LongType)
-# Name parts that mark a feature as temporal or contextual (fixed values).
-TEMPORAL_PARTS = ["lag_", "rolling_", "hour", "dow", "month", "day_", "week"]
-CONTEXT_PARTS = ["temperature", "cloud", "dew", "precip", "pressure", "wind",
-                 "square_feet", "year_built", "floor_count", "is_holiday", "semester"]
+# Name parts of features that describe the context, not the time (fixed values).
+CONTEXT_PARTS = [
+    "temperature", "cloud", "dew", "precip", "pressure",
+    "wind", "square_feet", "year_built", "floor_count",
+]
 
 
 def filled_buildings(buildings: DataFrame) -> DataFrame:
@@ -46,8 +49,7 @@ def feature_matrix(
     and holidays are joined afterwards, so the window shuffle stays slim.
     """
     kept = select_readings(readings, buildings, ids).select("building_id", "timestamp", TARGET)
-    history = fill_zero_prefixed(add_history_features(kept))
-    joined = enrich(history, filled_buildings(buildings), fill_weather(weather))
+    joined = enrich(add_history_features(kept), filled_buildings(buildings), fill_weather(weather))
     days = calendar if calendar is not None else holiday_calendar(readings.sparkSession)
     return add_log_target(add_time_features(add_holiday_flag(joined, days)))
 
@@ -68,11 +70,8 @@ def feature_columns(df: DataFrame, exclude: list[str] = NOT_FEATURES) -> list[st
 
 
 def feature_branches(features: list[str]) -> tuple[list[str], list[str]]:
-    """(temporal, contextual) features by name; anything else is temporal."""
-    context = [
-        f for f in features
-        if any(part in f for part in CONTEXT_PARTS) and not any(part in f for part in TEMPORAL_PARTS)
-    ]
+    """(temporal, contextual) features by name; anything unknown is temporal."""
+    context = [f for f in features if any(part in f for part in CONTEXT_PARTS)]
     return [f for f in features if f not in context], context
 
 
