@@ -1,0 +1,9 @@
+"""All registered queries by name."""
+
+from meterlens.catalog.anomaly import ANOMALY
+from meterlens.catalog.evaluation import EVALUATION
+from meterlens.catalog.learning import LEARNING
+from meterlens.catalog.planning import PLANNING
+from meterlens.catalog.readings import READINGS
+
+QUERIES = {**READINGS, **EVALUATION, **ANOMALY, **PLANNING, **LEARNING}

@@ -7,7 +7,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.functions.scalars import total
-from meterlens.operators.scores import add_standardised, error_threshold
+from meterlens.operators.scores import add_standardised, error_threshold, fit_scaler
 
 
 def detect_reconstruction(df: DataFrame, features: list[str], components: int = 2) -> DataFrame:
@@ -17,10 +17,9 @@ def detect_reconstruction(df: DataFrame, features: list[str], components: int =
     matrix has one row per feature, so the rebuilding is column arithmetic
     that stays in generated code.
     """
-    scaled = add_standardised(
-        df.select("*", *[F.col(f).cast("double").alias(f"_x_{f}") for f in features]),
-        [f"_x_{f}" for f in features],
-    )
+    plain = df.select("*", *[F.col(f).cast("double").alias(f"_x_{f}") for f in features])
+    inputs = [f"_x_{f}" for f in features]
+    scaled = add_standardised(plain, inputs, fit_scaler(plain, inputs))
     names = [f"_x_{f}_scaled" for f in features]
     vectors = VectorAssembler(inputCols=names, outputCol="_v").transform(scaled)
     loadings = PCA(k=components, inputCol="_v", outputCol="_p").fit(vectors).pc.toArray()

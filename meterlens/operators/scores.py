@@ -161,13 +161,29 @@ def scaler_row(df: DataFrame, columns: list[str]) -> Column:
     ).scalar()
 
 
+def fit_scaler(df: DataFrame, columns: list[str]) -> dict[str, tuple[float, float]]:
+    """(mean, population std) per column, fetched as one row for model fitting."""
+    row = df.agg(
+        *[F.avg(c).alias(f"m{i}") for i, c in enumerate(columns)],
+        *[F.stddev_pop(c).alias(f"s{i}") for i, c in enumerate(columns)],
+    ).first()
+    return {c: (row[f"m{i}"], row[f"s{i}"]) for i, c in enumerate(columns)}
+
+
 def add_standardised(
-    df: DataFrame, columns: list[str], fit_on: DataFrame | None = None, suffix: str = "_scaled"
+    df: DataFrame,
+    columns: list[str],
+    fitted: dict[str, tuple[float, float]] | None = None,
+    suffix: str = "_scaled",
 ) -> DataFrame:
-    """Standardised copies of the columns, statistics from ``fit_on``."""
-    stats = scaler_row(df if fit_on is None else fit_on, columns)
+    """Standardised copies of the columns, by fitted statistics or those of ``df``."""
+    if fitted is not None:
+        return df.select("*", *[
+            standardise(F.col(c), F.lit(fitted[c][0]), F.lit(fitted[c][1])).alias(c + suffix)
+            for c in columns
+        ])
     # The statistics enter as one column, so the plan holds the subquery once.
-    return df.select("*", stats.alias("_stats")).select(
+    return df.select("*", scaler_row(df, columns).alias("_stats")).select(
         *df.columns,
         *[
             standardise(F.col(c), F.col(f"_stats.{c}.mean"), F.col(f"_stats.{c}.std")).alias(

@@ -15,7 +15,7 @@ from meterlens.config import ABLATION_GROUPS, LOOKBACK, TARGET, ForestParams, Tr
 from meterlens.functions.scalars import clamp, corrected, unstandardise
 from meterlens.operators.blend import weighted_ensemble
 from meterlens.operators.filters import with_history
-from meterlens.operators.scores import add_standardised, model_metrics, scaler_row, stack_results
+from meterlens.operators.scores import add_standardised, fit_scaler, model_metrics, stack_results
 from meterlens.operators.windows import add_sequences
 from meterlens.plans.features import feature_branches, without_group
 
@@ -86,13 +86,14 @@ def standardised_regression(matrix: DataFrame, features: list[str], target: str
     """Linear regression on standardised inputs and target, scaled back."""
     train, val = parts(matrix)
     columns = [*features, target]
-    scaled_train = add_standardised(train, columns, fit_on=train)
-    scaled_val = add_standardised(val, columns, fit_on=train)
+    fitted = fit_scaler(train, columns)
     inputs = [f"{f}_scaled" for f in features]
-    model = _assembled(inputs, ridge(f"{target}_scaled")).fit(scaled_train)
-    stats = scaler_row(train, [target])[target]
-    raw = unstandardise(F.col("_raw"), F.col("_scale.mean"), F.col("_scale.std"))
-    return model.transform(scaled_val).select("*", stats.alias("_scale")).select(
+    model = _assembled(inputs, ridge(f"{target}_scaled")).fit(
+        add_standardised(train, columns, fitted)
+    )
+    mean, std = fitted[target]
+    raw = unstandardise(F.col("_raw"), F.lit(mean), F.lit(std))
+    return model.transform(add_standardised(val, columns, fitted)).select(
         *KEYS, F.col(target).alias("actual"), clamp(raw).alias("prediction")
     )
 
