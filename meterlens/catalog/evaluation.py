@@ -222,12 +222,13 @@ EVALUATION = {
                       from elec) x) y group by fold""", "elec"),
     ),
     "weighted_ensemble_metrics": Query(
-        lambda s, d: scores.model_metrics(blend.weighted_ensemble(tables.predictions(s, d)), []),
+        lambda s, d: rounded(scores.model_metrics(
+            blend.weighted_ensemble(tables.predictions(s, d)), [], rounded=False)),
         sql(f"""select round(1 - sum((actual - prediction) * (actual - prediction))
               / (var_pop(actual) * count(*)), 6) as r2,
-            round(sqrt(avg((actual - prediction) * (actual - prediction))), 4) as rmse,
-            round(avg(abs(actual - prediction)), 4) as mae,
-            round(avg(abs((actual - prediction) / actual)) * 100, 4) as mape, count(*) as n
+            round(sqrt(avg((actual - prediction) * (actual - prediction))), 6) as rmse,
+            round(avg(abs(actual - prediction)), 6) as mae,
+            round(avg(abs((actual - prediction) / actual)) * 100, 6) as mape, count(*) as n
           from ({BLEND_SQL}) b""", "metrics", "pairs"),
     ),
 }

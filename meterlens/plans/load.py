@@ -270,7 +270,7 @@ def savings_calculator(daily: DataFrame, savings_pct: float = 20.0, p: PlanParam
 def run_load_plans(
     df: DataFrame, rooms: DataFrame, by: list[str] = (), p: PlanParams = DEFAULT
 ) -> dict[str, DataFrame]:
-    """All plans from one profile, which is computed once and checkpointed."""
+    """All plans from one profile, which is computed and written once."""
     cloud = "cloud_coverage" if "cloud_coverage" in df.columns else None
     profile = settle(hourly_profile(df, by, cloud=cloud))
     means = building_means(df, by=[c for c in by if c != "building_id"])

@@ -1,8 +1,9 @@
-"""Session helpers: defaults, size checks and reliable checkpoints."""
+"""Session helpers: defaults, size checks and intermediate tables."""
 
 from __future__ import annotations
 
 import tempfile
+import uuid
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -58,21 +59,28 @@ def bounded_broadcast(
     return kept
 
 
+def shared_folder(spark: SparkSession) -> str:
+    """Folder for intermediate tables: ``spark.checkpoint.dir`` of the session.
+
+    Only a local session without the setting gets a folder of its own.
+    """
+    context = spark.sparkContext
+    folder = spark.conf.get("spark.checkpoint.dir", None) or context.getCheckpointDir()
+    if folder:
+        return folder
+    if not context.master.startswith("local"):
+        raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
+    context.setCheckpointDir(tempfile.mkdtemp(prefix="meterlens-"))
+    return context.getCheckpointDir()
+
+
 def settle(df: DataFrame) -> DataFrame:
-    """Cut the lineage of ``df`` with a reliable checkpoint.
+    """Cut the lineage of ``df`` by writing it to the shared folder.
 
-    The folder comes from ``spark.checkpoint.dir``. Where that is unset, only a
-    local session gets a folder of its own.
+    The result is a parquet table: later jobs read only the columns they need,
+    its size is known, and a lost executor costs no recomputation.
     """
     spark = df.sparkSession
-    context = spark.sparkContext
-    if context.getCheckpointDir() is None:
-        folder = context.getConf().get("spark.checkpoint.dir") or spark.conf.get(
-            "spark.checkpoint.dir", None
-        )
-        if not folder:
-            if not context.master.startswith("local"):
-                raise ValueError("set spark.checkpoint.dir to a folder shared by the cluster")
-            folder = tempfile.mkdtemp(prefix="meterlens-checkpoint-")
-        context.setCheckpointDir(folder)
-    return df.checkpoint(eager=True)
+    path = f"{shared_folder(spark).rstrip('/')}/meterlens-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return spark.read.parquet(path)
