@@ -72,52 +72,47 @@ FLOATING_DAYS = [
 ]
 
 
+def _fixed_dates() -> str:
+    """SQL array of the fixed days of ``year`` and the days they are observed on."""
+    entries = []
+    for name, month, day, since in FIXED_DAYS:
+        date, label = f"make_date(year, {month}, {day})", name.replace("'", "''")
+        entries.append(f"struct('{label}' as holiday, {date} as date, {since} as since)")
+        entries.append(
+            f"struct('{label} (observed)' as holiday, case weekday({date})"
+            f" when 5 then date_sub({date}, 1) when 6 then date_add({date}, 1) end as date,"
+            f" {since} as since)"
+        )
+    return ", ".join(entries)
+
+
+def _floating_dates() -> str:
+    """SQL array of the n-th (or last) weekdays of a month of ``year``."""
+    entries = []
+    for name, month, day, n, since in FLOATING_DAYS:
+        start, label = f"make_date(year, {month}, 1)", name.replace("'", "''")
+        if n == 0:
+            date = f"next_day(date_sub(last_day({start}), 7), '{day}')"
+        else:
+            date = f"date_add(next_day(date_sub({start}, 1), '{day}'), {7 * (n - 1)})"
+        entries.append(f"struct('{label}' as holiday, {date} as date, {since} as since)")
+    return ", ".join(entries)
+
+
 def holiday_calendar(spark: SparkSession, first_year: int = 1990, last_year: int = 2060) -> DataFrame:
     """(date, holiday) by rule, about 13 rows per year, one row per date.
 
     Fixed days on a Saturday are observed the day before, on a Sunday the day
     after; both the day itself and the observed day are listed.
     """
-    years = spark.range(first_year, last_year + 2).select(F.col("id").cast("int").alias("year"))
-    fixed = F.array(*[
-        F.struct(
-            F.lit(name).alias("holiday"),
-            F.make_date("year", F.lit(month), F.lit(day)).alias("date"),
-            F.lit(since).alias("since"),
-        )
-        for name, month, day, since in FIXED_DAYS
-    ])
-    listed = years.select("year", F.inline(fixed)).filter(F.col("year") >= F.col("since"))
-    weekday = F.weekday("date")
-    observed = listed.select(
-        F.concat("holiday", F.lit(" (observed)")).alias("holiday"),
-        F.when(weekday == 5, F.date_sub("date", 1))
-        .when(weekday == 6, F.date_add("date", 1))
-        .alias("date"),
-    ).filter(F.col("date").isNotNull())
-
-    def nth(month: int, day: str, n: int) -> Column:
-        start = F.make_date(F.col("year"), F.lit(month), F.lit(1))
-        if n == 0:
-            return F.next_day(F.date_sub(F.last_day(start), 7), day)
-        return F.date_add(F.next_day(F.date_sub(start, 1), day), 7 * (n - 1))
-
-    floating = years.select(
-        "year",
-        F.inline(F.array(*[
-            F.struct(
-                F.lit(name).alias("holiday"),
-                nth(month, day, n).alias("date"),
-                F.lit(since).alias("since"),
-            )
-            for name, month, day, n, since in FLOATING_DAYS
-        ])),
-    ).filter(F.col("year") >= F.col("since"))
     return (
-        listed.select("date", "holiday")
-        .unionByName(observed.select("date", "holiday"))
-        .unionByName(floating.select("date", "holiday"))
-        .filter(F.year("date").between(first_year, last_year))
+        spark.range(first_year, last_year + 2)
+        .selectExpr("cast(id as int) as year")
+        .selectExpr("year", f"inline(array({_fixed_dates()}, {_floating_dates()}))")
+        .filter(
+            f"date is not null and year >= since"
+            f" and year(date) between {first_year} and {last_year}"
+        )
         .groupBy("date")
         .agg(F.min("holiday").alias("holiday"))
     )
@@ -125,7 +120,7 @@ def holiday_calendar(spark: SparkSession, first_year: int = 1990, last_year: int
 
 def add_holiday_flag(df: DataFrame, calendar: DataFrame, ts: str = "timestamp") -> DataFrame:
     """``is_holiday`` 0/1: is the calendar date of ``ts`` in the calendar?"""
-    days = bounded_broadcast(calendar.select(F.col("date").alias("_date")).distinct())
+    days = bounded_broadcast(calendar.select(F.col("date").alias("_date")))
     return (
         df.join(days, F.to_date(ts) == F.col("_date"), "left")
         .select(*df.columns, F.col("_date").isNotNull().cast("int").alias("is_holiday"))

@@ -13,9 +13,9 @@ from meterlens.session import SMALL_BYTES, is_small
 def fill_medians(df: DataFrame, columns: list[str], **sizing) -> DataFrame:
     """NULLs become the exact median of the column over the rows of ``df``."""
     medians = exact_medians(df, columns, **sizing)
-    return df.select(
+    return df.select("*", medians.alias("_medians")).select(
         *[
-            F.coalesce(F.col(c), medians[c]).alias(c) if c in columns else F.col(c)
+            F.coalesce(F.col(c), F.col(f"_medians.{c}")).alias(c) if c in columns else F.col(c)
             for c in df.columns
         ]
     )

@@ -154,8 +154,8 @@ def detect_isolation(
     features would not change a tree and is left out.
     """
     scored = fit_isolation_forest(df, list(keys), features, p).score(df, "_score")
-    cut = exact_quantiles(scored, ["_score"], 1 - p.contamination, **sizing)["_score"]
-    return scored.select(
+    cut = exact_quantiles(scored, ["_score"], 1 - p.contamination, **sizing)
+    return scored.select("*", cut.alias("_cut")).select(
         *df.columns,
-        (F.col("_score") - cut).alias("anomaly_score_if"),
+        (F.col("_score") - F.col("_cut._score")).alias("anomaly_score_if"),
     ).withColumn("anomaly_if", (F.col("anomaly_score_if") > 0).cast("int"))

@@ -30,8 +30,8 @@ def enrich(readings: DataFrame, buildings: DataFrame, weather: DataFrame) -> Dat
     missing after the join (ids without metadata) get the median over the
     joined rows, so a building weighs as much as it has readings.
     """
-    joined = join_weather(join_buildings(readings, buildings), weather)
-    return fill_medians(joined, BUILDING_FEATURES)
+    with_buildings = fill_medians(join_buildings(readings, buildings), BUILDING_FEATURES)
+    return join_weather(with_buildings, weather)
 
 
 def scatter_predictions(rows: DataFrame, predictions: DataFrame, drop_missing: bool = False) -> DataFrame:

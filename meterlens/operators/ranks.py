@@ -14,8 +14,8 @@ ACCURACY = 10_000
 
 def exact_quantiles(
     df: DataFrame, columns: list[str], q: float, small_bytes: int = SMALL_BYTES
-) -> dict[str, Column]:
-    """Exact linearly interpolated quantile of each column, as scalar columns.
+) -> Column:
+    """Exact linearly interpolated quantiles, as one scalar struct of columns.
 
     A small table uses ``percentile``, which keeps every distinct value in one
     buffer. A large one first brackets the quantile with ``percentile_approx``
@@ -23,52 +23,47 @@ def exact_quantiles(
     few ten-thousandths of the rows. NULLs are skipped.
     """
     if is_small(df, small_bytes):
-        row = df.agg(
+        return df.agg(
             F.struct(*[F.percentile(c, F.lit(q)).alias(c) for c in columns]).alias("q")
         ).scalar()
-        return {c: row[c] for c in columns}
+    return F.struct(*[_bracketed_quantile(df, c, q).alias(c) for c in columns])
+
+
+def _bracketed_quantile(df: DataFrame, column: str, q: float) -> Column:
     slack = 2.0 / ACCURACY
     low, high = max(0.0, q - slack), min(1.0, q + slack)
-    brackets = df.agg(
+    values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
+    summary = values.agg(
         F.struct(
-            *[
-                F.struct(
-                    F.percentile_approx(c, [low, high], ACCURACY).alias("edge"),
-                    F.min(c).alias("least"),
-                    F.max(c).alias("most"),
-                    F.count(c).alias("n"),
-                ).alias(c)
-                for c in columns
-            ]
+            F.percentile_approx("v", [low, high], ACCURACY).alias("edge"),
+            F.min("v").alias("least"),
+            F.max("v").alias("most"),
+            F.count("v").alias("n"),
+        ).alias("s")
+    ).select(
+        F.struct(
+            # A bracket that touches an end of the data is opened to that end.
+            (F.col("s.least") if low == 0.0 else F.col("s.edge")[0]).alias("lowest"),
+            (F.col("s.most") if high == 1.0 else F.col("s.edge")[1]).alias("highest"),
+            ((F.col("s.n") - 1) * q).alias("position"),
         ).alias("b")
-    ).scalar()
-    result = {}
-    for c in columns:
-        value = F.col(c).cast("double")
-        b = brackets[c]
-        # A bracket that touches an end of the data is opened to that end.
-        lowest = F.least(b["edge"][0], b["least"]) if low == 0.0 else b["edge"][0]
-        highest = F.greatest(b["edge"][1], b["most"]) if high == 1.0 else b["edge"][1]
-        below = df.filter(value < lowest).agg(F.count("*").alias("below")).scalar()
-        inside = (
-            df.filter(value.between(lowest, highest))
-            .groupBy(value.alias("v"))
-            .count()
-            .withColumn("upto", F.sum("count").over(Window.orderBy("v")) + below)
-        )
-        position = (b["n"] - 1) * q
-        ranked = inside.agg(
-            F.struct(
-                F.min(F.when(F.col("upto") > F.floor(position), F.col("v"))).alias("lower"),
-                F.min(F.when(F.col("upto") > F.ceil(position), F.col("v"))).alias("upper"),
-                (position - F.floor(position)).alias("share"),
-            ).alias("r")
-        ).scalar()
-        result[c] = ranked["lower"] + (ranked["upper"] - ranked["lower"]) * ranked["share"]
-    return result
+    )
+    placed = values.select("v", summary.scalar().alias("b"))
+    # One pass: rows below the bracket become a single group, rows above go.
+    counted = (
+        placed.filter(F.col("v") <= F.col("b.highest"))
+        .groupBy(F.when(F.col("v") >= F.col("b.lowest"), F.col("v")).alias("inside"))
+        .agg(F.count("*").alias("n"), F.first("b.position").alias("position"))
+    )
+    upto = F.sum("n").over(Window.orderBy(F.col("inside").asc_nulls_first()))
+    reached = counted.withColumn("upto", upto)
+    lower = F.min(F.when(F.col("upto") > F.floor("position"), F.col("inside")))
+    upper = F.min(F.when(F.col("upto") > F.ceil("position"), F.col("inside")))
+    share = F.first("position") - F.floor(F.first("position"))
+    return reached.agg((lower + (upper - lower) * share).alias("q")).scalar()
 
 
-def exact_medians(df: DataFrame, columns: list[str], **sizing) -> dict[str, Column]:
+def exact_medians(df: DataFrame, columns: list[str], **sizing) -> Column:
     return exact_quantiles(df, columns, 0.5, **sizing)
 
 
@@ -135,11 +130,16 @@ def chronological_split(
     ratio: float = 0.8,
     ts: str = "timestamp",
     key: str = "building_id",
+    keys_from: DataFrame | None = None,
     **sizing,
 ) -> DataFrame:
-    """Add ``is_val``: false for the first ``floor(ratio * n)`` rows in time."""
+    """Add ``is_val``: false for the first ``floor(ratio * n)`` rows in time.
+
+    ``keys_from`` may name a cheaper table with the same (ts, key) rows, such
+    as the readings a wide matrix was built from.
+    """
     cuts = chronological_cuts(
-        df, lambda n: F.array(F.floor(n * ratio).cast("long")), ts, key, **sizing
+        df if keys_from is None else keys_from, lambda n: F.array(F.floor(n * ratio).cast("long")), ts, key, **sizing
     )
     row = F.struct(F.col(ts), F.col(key))
     # No boundary row means an empty training part.

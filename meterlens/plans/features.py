@@ -55,10 +55,16 @@ def feature_matrix(
 
 
 def run_pipeline(
-    readings: DataFrame, buildings: DataFrame, weather: DataFrame, **options
+    readings: DataFrame, buildings: DataFrame, weather: DataFrame, ids: list[int] | None = None,
+    **options,
 ) -> DataFrame:
-    """The matrix with the chronological 80/20 split flag ``is_val``."""
-    return chronological_split(feature_matrix(readings, buildings, weather, **options))
+    """The matrix with the chronological 80/20 split flag ``is_val``.
+
+    The joins keep the rows of the readings, so the split boundary is found on
+    those alone.
+    """
+    matrix = feature_matrix(readings, buildings, weather, ids, **options)
+    return chronological_split(matrix, keys_from=select_readings(readings, buildings, ids))
 
 
 def feature_columns(df: DataFrame, exclude: list[str] = NOT_FEATURES) -> list[str]:

@@ -33,7 +33,7 @@ def build_session(app: str = "meterlens", master: str | None = None, **conf) ->
 
 def estimated_bytes(df: DataFrame) -> int:
     """Total size of the tables ``df`` reads, by file size (runs no job)."""
-    leaves = df._jdf.queryExecution().optimizedPlan().collectLeaves()
+    leaves = df._jdf.queryExecution().analyzed().collectLeaves()
     return sum(int(str(leaves.apply(i).stats().sizeInBytes())) for i in range(leaves.size()))
 
 

@@ -13,8 +13,17 @@ from meterlens.operators.filters import positive, target_meter
 from meterlens.operators.windows import history_windows
 
 
-def _read(spark: SparkSession, folder: str, name: str) -> DataFrame:
-    return spark.read.parquet(f"{folder}/{name}.parquet")
+# Columns in use, so neither schema inference nor unused columns cost a read.
+EVENTS = "event_id bigint, ts timestamp_ntz, user_id bigint, event_type string, value double"
+CUSTOMER = "c_custkey bigint, c_nationkey int, c_acctbal double, c_mktsegment string"
+
+
+def _events(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(EVENTS).parquet(f"{folder}/events.parquet")
+
+
+def _customers(spark: SparkSession, folder: str) -> DataFrame:
+    return spark.read.schema(CUSTOMER).parquet(f"{folder}/customer.parquet")
 
 
 def hour_of(ts: str):
@@ -25,7 +34,7 @@ def hour_of(ts: str):
 def readings(spark: SparkSession, folder: str) -> DataFrame:
     """One row per (building, meter, hour)."""
     hourly = (
-        _read(spark, folder, "events")
+        _events(spark, folder)
         .select(
             F.col("user_id").alias("building_id"),
             F.when(F.col("event_type") == "error", 1).otherwise(0).alias("meter"),
@@ -53,9 +62,9 @@ def electricity(spark: SparkSession, folder: str) -> DataFrame:
 
 def buildings(spark: SparkSession, folder: str) -> DataFrame:
     key = F.col("c_custkey")
-    return _read(spark, folder, "customer").select(
+    return _customers(spark, folder).select(
         key.alias("building_id"),
-        F.col("c_nationkey").cast("int").alias("site_id"),
+        F.col("c_nationkey").alias("site_id"),
         F.when(F.col("c_mktsegment") == "FURNITURE", "Office")
         .otherwise("Lodging/residential")
         .alias("primary_use"),
@@ -67,12 +76,12 @@ def buildings(spark: SparkSession, folder: str) -> DataFrame:
 
 def weather_observations(spark: SparkSession, folder: str) -> DataFrame:
     """Sparse observations per site and hour."""
-    sites = _read(spark, folder, "customer").select(
-        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").cast("int").alias("site_id")
+    sites = _customers(spark, folder).select(
+        F.col("c_custkey").alias("user_id"), F.col("c_nationkey").alias("site_id")
     )
     value = F.col("value")
     return (
-        _read(spark, folder, "events")
+        _events(spark, folder)
         .filter(F.col("event_type") == "error")
         .select("user_id", hour_of("ts").alias("timestamp"), "value", "event_id")
         .join(sites, "user_id")
@@ -92,7 +101,7 @@ def weather_observations(spark: SparkSession, folder: str) -> DataFrame:
 def weather(spark: SparkSession, folder: str) -> DataFrame:
     """Every hour of every site from the first to the last event; mostly NULL."""
     span = (
-        _read(spark, folder, "events")
+        _events(spark, folder)
         .agg(
             F.struct(
                 F.date_trunc("hour", F.min("ts")).alias("first"),
@@ -102,8 +111,8 @@ def weather(spark: SparkSession, folder: str) -> DataFrame:
         .scalar()
     )
     grid = (
-        _read(spark, folder, "customer")
-        .select(F.col("c_nationkey").cast("int").alias("site_id"))
+        _customers(spark, folder)
+        .select(F.col("c_nationkey").alias("site_id"))
         .distinct()
         .select("site_id", span.alias("span"))
         .select(
