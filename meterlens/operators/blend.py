@@ -9,10 +9,11 @@ from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlens.functions.scalars import clamp, total
-from meterlens.operators.filters import valid_models
+from meterlens.operators.filters import finite_pairs
 from meterlens.operators.joins import align_models
 from meterlens.operators.ranks import contiguous_folds
 from meterlens.operators.scores import model_metrics
+from meterlens.session import settle
 
 # Ridge penalties tried by the stacker (fixed values).
 ALPHAS = [0.01, 0.1, 1.0, 10.0, 100.0]
@@ -33,19 +34,23 @@ def weighted_ensemble(
 
     The weights are one row per model and are broadcast.
     """
-    usable = valid_models(predictions.filter(F.col("prediction").isNotNull()))
+    usable = finite_pairs(predictions)
     scored = metrics if metrics is not None else model_metrics(usable)
-    weights = model_weights(scored, metric)
-    models = weights.agg(F.count("*").alias("models")).scalar()
+    # One row per valid model; a single model is not an ensemble.
+    weights = (
+        model_weights(scored, metric)
+        .withColumn("models", F.count("*").over(Window.partitionBy()))
+        .filter(F.col("models") >= 2)
+    )
     return (
         usable.join(F.broadcast(weights), "model")
         .groupBy("building_id", "timestamp")
         .agg(
             F.max("actual").alias("actual"),
             F.sum(F.col("weight") * F.col("prediction")).alias("blend"),
-            F.count("*").alias("_n"),
+            (F.count("*") == F.max("models")).alias("_complete"),
         )
-        .filter(F.col("_n") == models)
+        .filter("_complete")
         .select("building_id", "timestamp", "actual", clamp(F.col("blend")).alias("prediction"))
     )
 
@@ -93,11 +98,9 @@ def fit_stacker(wide: DataFrame, models: list[str], alphas=ALPHAS, folds: int =
     the driver only solves systems as large as the number of models.
     """
     columns = [*models, "actual"]
-    means = wide.agg(F.struct(*[F.avg(c).alias(c) for c in columns]).alias("m")).scalar()
-    parts = (
-        contiguous_folds(wide, folds, **sizing)
-        .select("*", means.alias("_means"))
-        .select("fold", *[(F.col(c) - F.col(f"_means.{c}")).alias(c) for c in columns])
+    means = wide.agg(*[F.avg(c).alias(c) for c in columns]).first()
+    parts = contiguous_folds(wide, folds, **sizing).select(
+        "fold", *[(F.col(c) - means[c]).alias(c) for c in columns]
     )
     k = len(models)
     products = [
@@ -134,14 +137,16 @@ def fit_stacker(wide: DataFrame, models: list[str], alphas=ALPHAS, folds: int =
         scores[alpha] = float(np.mean(fold_scores))
     best = max(alphas, key=lambda a: scores[a])
     w, b = _solve(everything, best)
-    centre = wide.agg(*[F.avg(c).alias(c) for c in columns]).first()
-    shift = centre["actual"] - sum(c * centre[m] for c, m in zip(w, models))
+    shift = means["actual"] - sum(c * means[m] for c, m in zip(w, models))
     return Stacker(list(models), best, [float(c) for c in w], float(b + shift), scores)
 
 
 def stacked_ensemble(predictions: DataFrame, models: list[str], **sizing) -> tuple[DataFrame, Stacker]:
-    """Fit on the aligned rows and score the same rows."""
-    wide = align_models(predictions, sorted(models))
+    """Fit on the aligned rows and score the same rows.
+
+    The aligned table is written once; fitting reads it several times.
+    """
+    wide = settle(align_models(predictions, sorted(models)))
     stacker = fit_stacker(wide, sorted(models), **sizing)
     return stacker.apply(wide), stacker
 

@@ -168,7 +168,7 @@ def contiguous_folds(
     cuts = chronological_cuts(df, last_rows, ts, key, **sizing)
     row = F.struct(F.col(ts), F.col(key))
     passed = [
-        F.coalesce((row > F.try_element_at(cuts, F.lit(i))).cast("int"), F.lit(0))
+        F.coalesce((row > F.try_element_at("_cuts", F.lit(i))).cast("int"), F.lit(0))
         for i in range(1, folds)
     ]
-    return df.select("*", total(passed).alias("fold"))
+    return df.select("*", cuts.alias("_cuts")).select(*df.columns, total(passed).alias("fold"))

@@ -115,73 +115,50 @@ def solar_summary(netload: DataFrame, by: list[str] = (), p: PlanParams = DEFAUL
     )
 
 
-def _stagger_days(
-    rooms: DataFrame, by: list[str], p: PlanParams, appliances: list[tuple]
-) -> DataFrame:
-    """Both 24-hour profiles per group as arrays, by arithmetic on ``rooms``.
-
-    Which hours an appliance runs in depends on the catalogue alone, so each
-    hour is a fixed weighted sum of user counts: no join and no shuffle.
-    """
-    users, parts = {}, {}
-    usual: list[list[Column]] = [[] for _ in range(24)]
-    spread: list[list[Column]] = [[] for _ in range(24)]
-    for i, (_, power, start, end, share) in enumerate(appliances):
-        users[f"_u{i}"] = F.floor(F.col("rooms") * F.lit(share)).cast("double")
-        parts[f"_g{i}"] = F.floor(F.col(f"_u{i}") / p.stagger_groups).cast("double")
-        length = end - start if start < end else 24 - start + end
-        running = [(start + k) % 24 for k in range(length)]
-        shift = max(1, length // p.stagger_groups)
-        for hour in running:
-            usual[hour].append(F.col(f"_u{i}") * power / length)
-            for group in range(p.stagger_groups):
-                spread[(hour + group * shift) % 24].append(F.col(f"_g{i}") * power / length)
-    zero = F.lit(0.0)
-    return (
-        rooms.select(*by, *[c.alias(n) for n, c in users.items()])
-        .select("*", *[c.alias(n) for n, c in parts.items()])
-        .select(
-            *by,
-            F.array(*[total([zero, *terms]) for terms in usual]).alias("original"),
-            F.array(*[total([zero, *terms]) for terms in spread]).alias("staggered"),
-        )
-    )
-
-
 def stagger_profile(
     rooms: DataFrame, by: list[str] = (), p: PlanParams = DEFAULT, appliances=APPLIANCES
 ) -> DataFrame:
     """Appliance load by hour with and without three shifted user groups.
 
     ``rooms`` has one row per group with its number of rooms. Users that do
-    not fill a third of a group drop out of the shifted profile.
+    not fill a third of a group drop out of the shifted profile. How often an
+    appliance runs in an hour depends on the catalogue alone, so both loads
+    are weighted sums of user counts in generated code: no join, no shuffle.
     """
-    return _stagger_days(rooms, by, p, appliances).select(
-        *by,
-        F.posexplode(F.arrays_zip("original", "staggered")).alias("hour", "_v"),
+    usual_terms, spread_terms = [], []
+    hour = F.col("hour")
+    for _, power, start, end, share in appliances:
+        length = end - start if start < end else 24 - start + end
+        shift = max(1, length // p.stagger_groups)
+        usual, spread = [0] * 24, [0] * 24
+        for k in range(length):
+            usual[(start + k) % 24] += 1
+            for group in range(p.stagger_groups):
+                spread[(start + k + group * shift) % 24] += 1
+        users = F.floor(F.col("rooms") * F.lit(share))
+        parts = F.floor(users / p.stagger_groups)
+        usual_terms.append(users * power / length * F.get(F.expr(f"array{tuple(usual)}"), hour))
+        spread_terms.append(parts * power / length * F.get(F.expr(f"array{tuple(spread)}"), hour))
+    return rooms.select(
+        *by, "rooms", F.explode(F.sequence(F.lit(0), F.lit(23))).alias("hour")
     ).select(
         *by, "hour",
-        F.col("_v.original").alias("original_load"),
-        F.col("_v.staggered").alias("staggered_load"),
+        total(usual_terms).alias("original_load"),
+        total(spread_terms).alias("staggered_load"),
     )
 
 
 def stagger_summary(
     rooms: DataFrame, by: list[str] = (), p: PlanParams = DEFAULT, appliances=APPLIANCES
 ) -> DataFrame:
-    days = _stagger_days(rooms, by, p, appliances)
-
-    def mean(name: str) -> Column:
-        return F.aggregate(name, F.lit(0.0), lambda a, b: a + b) / 24
-
-    before, after = F.array_max("original"), F.array_max("staggered")
-    return days.select(
-        *by,
+    """Peak reduction and load factors; the 24 hours of a group merge map-side."""
+    before, after = F.max("original_load"), F.max("staggered_load")
+    return stagger_profile(rooms, by, p, appliances).groupBy(*by).agg(
         before.alias("stagger_peak_before_kw"),
         after.alias("stagger_peak_after_kw"),
         ((before - after) / before * 100).alias("stagger_reduction_pct"),
-        (mean("original") / (before + EPS)).alias("stagger_factor_before"),
-        (mean("staggered") / (after + EPS)).alias("stagger_factor_after"),
+        (F.avg("original_load") / (before + EPS)).alias("stagger_factor_before"),
+        (F.avg("staggered_load") / (after + EPS)).alias("stagger_factor_after"),
     )
 
 
