@@ -18,6 +18,7 @@ from meterlens.operators.filters import with_history
 from meterlens.operators.scores import add_standardised, fit_scaler, model_metrics, stack_results
 from meterlens.operators.windows import add_sequences
 from meterlens.plans.features import feature_branches, without_group
+from meterlens.sources.readers import require_rows
 
 KEYS = ["building_id", "timestamp"]
 RESULT = [*KEYS, "actual", "prediction"]
@@ -127,7 +128,12 @@ def residual_model(
     sequences = add_sequences(scored, channels=["residual"], lookback=lookback).join(
         known, "building_id", "left_semi"
     ).withColumn("features", array_to_vector("sequence"))
-    correction = ridge("residual").fit(sequences.filter(~F.col("is_val")))
+    known_residuals = sequences.filter(~F.col("is_val"))
+    if known_residuals.isEmpty():
+        return scored.filter("is_val").select(
+            *KEYS, "actual", clamp(F.col("base")).alias("prediction")
+        )
+    correction = ridge("residual").fit(known_residuals)
     corrections = correction.transform(sequences.filter(F.col("is_val"))).select(
         *KEYS, F.col("_raw").alias("correction")
     )
@@ -166,6 +172,7 @@ def sequence_regression(matrix: DataFrame, lookback: int = LOOKBACK, target: str
     pooled = rows.select(
         *KEYS, "is_val", target, *[c.alias(n) for n, c in sequence_stats().items()]
     )
+    require_rows(pooled.filter(~F.col("is_val")), f"training rows with {lookback} rows before them")
     model = fit_tabular(pooled, list(sequence_stats()), ridge(target))
     return predict(model, pooled.filter(F.col("is_val")), target)
 

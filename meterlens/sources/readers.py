@@ -50,8 +50,15 @@ def read_weather(spark: SparkSession, path) -> DataFrame:
 
 
 def read_table(spark: SparkSession, path: str) -> DataFrame:
-    """Processed parquet table; filters and columns are pushed to the scan."""
-    return spark.read.parquet(path)
+    """Processed parquet table; filters and columns are pushed to the scan.
+
+    Folder names are text, so the split flag of a partitioned matrix is turned
+    back into a boolean; filters on it still prune whole partitions.
+    """
+    table = spark.read.parquet(path)
+    if dict(table.dtypes).get("is_val") == "string":
+        return table.withColumn("is_val", F.col("is_val").cast("boolean"))
+    return table
 
 
 def stack(tables: list[DataFrame]) -> DataFrame:
@@ -64,12 +71,12 @@ def load_or_build(
 ) -> DataFrame:
     """Reuse the processed table at ``path``; build and write it when absent."""
     try:
-        return spark.read.parquet(path)
+        return read_table(spark, path)
     except AnalysisException as missing:
         if "PATH_NOT_FOUND" not in str(missing) and "UNABLE_TO_INFER_SCHEMA" not in str(missing):
             raise
     build().write.mode("overwrite").partitionBy(*partition_by).parquet(path)
-    return spark.read.parquet(path)
+    return read_table(spark, path)
 
 
 def require_rows(df: DataFrame, what: str = "readings") -> DataFrame:

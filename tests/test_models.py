@@ -88,7 +88,15 @@ def test_sequence_statistics(spark):
 
 def test_sequence_regression_covers_validation(matrix):
     assert models.sequence_regression(matrix, 24).count() == matrix.filter("is_val").count()
-    assert models.sequence_regression(matrix, 170).count() == 0
+    with pytest.raises(ValueError):
+        models.sequence_regression(matrix, 170)
+
+
+def test_short_histories_keep_the_base_forecast(matrix):
+    tree = models.boosted_trees(TreeParams(trees=1, depth=1))
+    short = models.residual_model(matrix, FEATURES, tree, lookback=170)
+    base = models.predict(models.fit_tabular(matrix, FEATURES, tree), matrix.filter("is_val"))
+    assert short.exceptAll(base).count() == 0
 
 
 def test_ablation(matrix):

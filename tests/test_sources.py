@@ -107,13 +107,15 @@ def test_load_or_build(spark, tmp_path, readings):
     second = readers.load_or_build(spark, path, build, ["is_val"])
     assert len(calls) == 1 and first.count() == second.count() == readings.count()
     pruned = second.filter("is_val")._jdf.queryExecution().executedPlan().toString()
-    assert "PartitionFilters: [isnotnull(is_val" in pruned
+    assert "as boolean)], PushedFilters" in pruned
+    assert second.filter("is_val").count() == readings.filter("building_id = 2").count()
 
 
 def test_versions_are_never_overwritten(spark, tmp_path, readings):
     root = str(tmp_path / "matrix")
     sinks.write_split(readings.withColumn("is_val", F.lit(False)), root + "/v1")
     new = readers.read_table(spark, root + "/v1").withColumn("anomaly", F.lit(0))
+    assert new.filter("is_val").count() == 0
     path = sinks.write_version(new, root, "v2")
     assert spark.read.parquet(path).count() == readings.count()
     with pytest.raises(Exception):
