@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlens.config import TARGET, WEATHER_FEATURES
@@ -10,9 +10,15 @@ from meterlens.operators.ranks import exact_medians
 from meterlens.session import SMALL_BYTES, is_small
 
 
-def fill_medians(df: DataFrame, columns: list[str], **sizing) -> DataFrame:
-    """NULLs become the exact median of the column over the rows of ``df``."""
-    medians = exact_medians(df, columns, **sizing)
+def fill_medians(
+    df: DataFrame, columns: list[str], medians: Column | None = None, **sizing
+) -> DataFrame:
+    """NULLs become the exact median of the column over the rows of ``df``.
+
+    ``medians`` may carry them ready-made, as a struct of the columns.
+    """
+    if medians is None:
+        medians = exact_medians(df, columns, **sizing)
     return df.select("*", medians.alias("_medians")).select(
         *[
             F.coalesce(F.col(c), F.col(f"_medians.{c}")).alias(c) if c in columns else F.col(c)

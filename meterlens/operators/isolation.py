@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 
 from meterlens.config import AnomalyParams
 from meterlens.operators.ranks import exact_quantiles
+from meterlens.session import is_small, settle
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, depth double"
 OVERSAMPLE = 2
@@ -154,6 +155,9 @@ def detect_isolation(
     features would not change a tree and is left out.
     """
     scored = fit_isolation_forest(df, list(keys), features, p).score(df, "_score")
+    if not is_small(df):
+        # The cut and the flags both read the scores: score once.
+        scored = settle(scored)
     cut = exact_quantiles(scored, ["_score"], 1 - p.contamination, **sizing)
     return scored.select("*", cut.alias("_cut")).select(
         *df.columns,

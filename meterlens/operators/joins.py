@@ -2,12 +2,12 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.config import BUILDING_FEATURES, WEATHER_FEATURES
 from meterlens.operators.fills import fill_medians, fill_zero
-from meterlens.session import bounded_broadcast
+from meterlens.session import bounded_broadcast, is_small, settle
 
 
 def join_buildings(readings: DataFrame, buildings: DataFrame) -> DataFrame:
@@ -30,8 +30,28 @@ def enrich(readings: DataFrame, buildings: DataFrame, weather: DataFrame) -> Dat
     missing after the join (ids without metadata) get the median over the
     joined rows, so a building weighs as much as it has readings.
     """
-    with_buildings = fill_medians(join_buildings(readings, buildings), BUILDING_FEATURES)
-    return join_weather(with_buildings, weather)
+    joined = join_buildings(readings, buildings)
+    medians = _weighted_medians(readings, buildings)
+    return join_weather(fill_medians(joined, BUILDING_FEATURES, medians=medians), weather)
+
+
+def _weighted_medians(readings: DataFrame, buildings: DataFrame) -> Column | None:
+    """Medians over the joined rows from one row per building and its count.
+
+    Large readings are reduced to (building, count) once; the exact weighted
+    percentile then runs on that table, if it is small enough for one buffer.
+    """
+    if is_small(readings):
+        return None
+    sizes = readings.groupBy("building_id").agg(F.count("*").alias("n"))
+    sized = settle(join_buildings(sizes, buildings).select("n", *BUILDING_FEATURES))
+    if not is_small(sized):
+        return None
+    return sized.agg(
+        F.struct(*[
+            F.percentile(c, F.lit(0.5), F.col("n")).alias(c) for c in BUILDING_FEATURES
+        ]).alias("m")
+    ).scalar()
 
 
 def scatter_predictions(rows: DataFrame, predictions: DataFrame, drop_missing: bool = False) -> DataFrame:

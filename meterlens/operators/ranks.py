@@ -2,11 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
+from functools import reduce
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlens.functions.scalars import total
-from meterlens.session import SMALL_BYTES, is_small
+from meterlens.session import SMALL_BYTES, is_small, settle
 
 # Error bound of percentile_approx is 1 / ACCURACY of the rows.
 ACCURACY = 10_000
@@ -67,8 +70,8 @@ def exact_medians(df: DataFrame, columns: list[str], **sizing) -> Column:
     return exact_quantiles(df, columns, 0.5, **sizing)
 
 
-def _id_ranks(at: DataFrame, ts: str, key: str, small_bytes: int) -> DataFrame:
-    """Position of every row of the boundary hours within its hour.
+def _ranked_ids(at: DataFrame, ts: str, key: str, small_bytes: int) -> DataFrame:
+    """Position ``_pos`` of every row of the boundary hours within its hour.
 
     Large hours are ranked in equal-depth id ranges, one task per range.
     """
@@ -91,17 +94,18 @@ def _id_ranks(at: DataFrame, ts: str, key: str, small_bytes: int) -> DataFrame:
 
 def chronological_cuts(
     df: DataFrame,
-    positions,
+    positions: Callable[[Column], Column],
     ts: str = "timestamp",
     key: str = "building_id",
     small_bytes: int = SMALL_BYTES,
-) -> Column:
-    """Boundary keys of a table ordered by (ts, key), as a scalar array column.
-
-    ``positions(n)`` maps the row count to an array column of row numbers; the
-    result holds the (ts, key) of the row at each of them, ascending. (key, ts)
-    must be unique. Only per-hour counts are summed in order (hours of the
-    calendar, not rows); rows are ranked only inside the boundary hours.
+) -> list[tuple[str, int]]:
+    """The (ts, key) of the rows at given positions of a table ordered by both.
+
+    ``positions(n)`` maps the row count to an array column of row numbers.
+    (key, ts) must be unique. Two jobs fetch a handful of boundary values: the
+    first sums per-hour counts in order (hours of the calendar, not rows), the
+    second reads only the boundary hours, by a filter that reaches the scan,
+    and ranks their rows.
     """
     everything = Window.orderBy(ts).rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
@@ -113,16 +117,34 @@ def chronological_cuts(
         .withColumn("rows", F.sum("n").over(everything))
         .withColumn("cut", F.explode(positions(F.col("rows"))))
         .filter((F.col("upto") >= F.col("cut")) & (F.col("upto") - F.col("n") < F.col("cut")))
-        .groupBy(ts)
-        .agg(F.collect_set(F.col("cut") - F.col("upto") + F.col("n")).alias("_wanted"))
+        .select(F.col(ts).cast("string").alias("at"), (F.col("cut") - F.col("upto") + F.col("n")).alias("rank"))
+        .distinct()
+        .collect()  # one row per cut
     )
-    at = df.select(ts, key).join(F.broadcast(boundary), ts)
-    return (
-        _id_ranks(at, ts, key, small_bytes)
-        .filter(F.array_contains("_wanted", F.col("_pos").cast("long")))
-        .agg(F.sort_array(F.collect_list(F.struct(F.col(ts), F.col(key)))).alias("cuts"))
-        .scalar()
+    if not boundary:
+        return []
+    kind = df.schema[ts].dataType
+    hours = sorted({row["at"] for row in boundary})
+    at = df.select(ts, key).filter(F.col(ts).isin(*[F.lit(h).cast(kind) for h in hours]))
+    if not is_small(at, small_bytes):
+        at = settle(at)
+    wanted = [
+        (F.col(ts) == F.lit(row["at"]).cast(kind)) & (F.col("_pos") == row["rank"])
+        for row in boundary
+    ]
+    found = (
+        _ranked_ids(at, ts, key, small_bytes)
+        .filter(reduce(lambda a, b: a | b, wanted))
+        .select(F.col(ts).cast("string").alias("at"), F.col(key).alias("key"))
+        .collect()  # one row per cut
     )
+    return sorted((row["at"], row["key"]) for row in found)
+
+
+def _after(df: DataFrame, cut: tuple[str, int], ts: str, key: str) -> Column:
+    """Does a row come after the cut row?"""
+    hour = F.lit(cut[0]).cast(df.schema[ts].dataType)
+    return (F.col(ts) > hour) | ((F.col(ts) == hour) & (F.col(key) > cut[1]))
 
 
 def chronological_split(
@@ -139,11 +161,11 @@ def chronological_split(
     as the readings a wide matrix was built from.
     """
     cuts = chronological_cuts(
-        df if keys_from is None else keys_from, lambda n: F.array(F.floor(n * ratio).cast("long")), ts, key, **sizing
+        df if keys_from is None else keys_from,
+        lambda n: F.array(F.floor(n * ratio).cast("long")), ts, key, **sizing,
     )
-    row = F.struct(F.col(ts), F.col(key))
     # No boundary row means an empty training part.
-    is_val = F.coalesce(row > F.try_element_at(cuts, F.lit(1)), F.lit(True))
+    is_val = _after(df, cuts[0], ts, key) if cuts else F.lit(True)
     return df.select("*", is_val.alias("is_val"))
 
 
@@ -166,9 +188,5 @@ def contiguous_folds(
         )
 
     cuts = chronological_cuts(df, last_rows, ts, key, **sizing)
-    row = F.struct(F.col(ts), F.col(key))
-    passed = [
-        F.coalesce((row > F.try_element_at("_cuts", F.lit(i))).cast("int"), F.lit(0))
-        for i in range(1, folds)
-    ]
-    return df.select("*", cuts.alias("_cuts")).select(*df.columns, total(passed).alias("fold"))
+    passed = total([F.lit(0), *[_after(df, cut, ts, key).cast("int") for cut in cuts]])
+    return df.select("*", passed.alias("fold"))
