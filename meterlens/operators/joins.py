@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from meterlens.config import BUILDING_FEATURES, WEATHER_FEATURES
 from meterlens.operators.fills import fill_medians, fill_zero
-from meterlens.session import bounded_broadcast, is_small, settle
+from meterlens.session import SMALL_BYTES, bounded_broadcast, is_small, settle
 
 
 def join_buildings(readings: DataFrame, buildings: DataFrame) -> DataFrame:
@@ -23,7 +23,9 @@ def join_weather(readings: DataFrame, weather: DataFrame) -> DataFrame:
     return fill_zero(readings.join(right, ["site_id", "timestamp"], "left"), present)
 
 
-def enrich(readings: DataFrame, buildings: DataFrame, weather: DataFrame) -> DataFrame:
+def enrich(
+    readings: DataFrame, buildings: DataFrame, weather: DataFrame, small_bytes: int = SMALL_BYTES
+) -> DataFrame:
     """Readings with building and weather columns and no missing values.
 
     ``buildings`` and ``weather`` are expected filled. Building columns still
@@ -31,17 +33,19 @@ def enrich(readings: DataFrame, buildings: DataFrame, weather: DataFrame) -> Dat
     joined rows, so a building weighs as much as it has readings.
     """
     joined = join_buildings(readings, buildings)
-    medians = _weighted_medians(readings, buildings)
+    medians = _weighted_medians(readings, buildings, small_bytes)
     return join_weather(fill_medians(joined, BUILDING_FEATURES, medians=medians), weather)
 
 
-def _weighted_medians(readings: DataFrame, buildings: DataFrame) -> Column | None:
+def _weighted_medians(
+    readings: DataFrame, buildings: DataFrame, small_bytes: int
+) -> Column | None:
     """Medians over the joined rows from one row per building and its count.
 
     Large readings are reduced to (building, count) once; the exact weighted
     percentile then runs on that table, if it is small enough for one buffer.
     """
-    if is_small(readings):
+    if is_small(readings, small_bytes):
         return None
     sizes = readings.groupBy("building_id").agg(F.count("*").alias("n"))
     sized = settle(join_buildings(sizes, buildings).select("n", *BUILDING_FEATURES))

@@ -2,7 +2,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlens.config import SAMPLE_BUILDINGS
-from meterlens.operators import filters
+from meterlens.operators import filters, joins
 from meterlens.plans.features import feature_branches, feature_columns, run_pipeline, without_group
 from meterlens.sources import readers, sinks
 
@@ -146,3 +146,19 @@ def test_filters(readings, frame):
 
 def test_stacked_inputs(readings):
     assert readers.stack([readings, readings, readings]).count() == 3 * readings.count()
+
+
+def test_medians_weigh_buildings_by_their_readings(spark, readings):
+    """Both ways to the medians agree when one building dominates the rows."""
+    buildings = spark.createDataFrame(
+        [(1, 1, 10.0, 1950.0, 1.0), (1, 2, 30.0, 1990.0, 3.0), (2, 4, None, None, 9.0)],
+        "site_id int, building_id long, square_feet double, year_built double, floor_count double",
+    )
+    weather = spark.createDataFrame(
+        [], "site_id int, timestamp timestamp_ntz, air_temperature double"
+    )
+    plain = joins.enrich(readings, buildings, weather)
+    weighted = joins.enrich(readings, buildings, weather, small_bytes=0)
+    assert plain.exceptAll(weighted).count() == 0 and weighted.count() == readings.count()
+    filled = plain.filter("building_id = 4").first()
+    assert (filled["square_feet"], filled["year_built"]) == (10.0, 1950.0)
