@@ -50,3 +50,15 @@ def drop_settled(df: DataFrame) -> None:
         hadoop = jvm.org.apache.hadoop.fs.Path(path)
         if hadoop.getName().startswith("meterlens-") and root.split(":", 1)[-1].lstrip("/") in path:
             hadoop.getFileSystem(spark._jsc.hadoopConfiguration()).delete(hadoop, True)
+
+
+def let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` evaluated once, however often the body uses it."""
+    return F.transform(F.array(value), body)[0]
+
+
+def small_side(settled: DataFrame, rows: int = 1_000_000, file_bytes: int = 32 << 20) -> DataFrame:
+    """A settled table, marked for broadcast if its own files and rows are few; else unmarked."""
+    if estimated_bytes(settled) <= file_bytes and settled.count() <= rows:
+        return F.broadcast(settled)
+    return settled

@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from meterlens.catalog.base import Query
-from meterlens.llm import packing, sharding, tokenfile
+from meterlens.llm import decontamination, packing, sharding, tokenfile
 from meterlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -26,8 +26,15 @@ def token_file(spark: SparkSession, folder: str) -> DataFrame:
     return tokenfile.read_tokens(spark, path)
 
 
+def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
+    return decontamination.contamination(
+        table(spark, folder, "documents"), table(spark, folder, "benchmark")
+    )
+
+
 QUERIES = {
     "op1_packing": Query(pack),
     "op2_sharding": Query(shard),
     "op6_token_file": Query(token_file),
+    "op7_decontamination": Query(decontaminate),
 }
