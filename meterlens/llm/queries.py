@@ -6,7 +6,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
 from meterlens.catalog.base import Query
-from meterlens.llm import decontamination, packing, sharding, tokenfile
+from meterlens.llm import decontamination, neardup, packing, sharding, tokenfile
 from meterlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -32,9 +32,14 @@ def decontaminate(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
+def dedup(spark: SparkSession, folder: str) -> DataFrame:
+    return neardup.near_duplicates(table(spark, folder, "documents"), shingle=4)
+
+
 QUERIES = {
     "op1_packing": Query(pack),
     "op2_sharding": Query(shard),
     "op6_token_file": Query(token_file),
     "op7_decontamination": Query(decontaminate),
+    "op8_minhash": Query(dedup),
 }
