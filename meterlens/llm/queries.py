@@ -4,9 +4,10 @@ from __future__ import annotations
 
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 from meterlens.catalog.base import Query
-from meterlens.llm import decontamination, neardup, packing, sharding, tokenfile
+from meterlens.llm import decontamination, neardup, packing, sharding, tokenfile, vectors
 from meterlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -36,9 +37,29 @@ def dedup(spark: SparkSession, folder: str) -> DataFrame:
     return neardup.near_duplicates(table(spark, folder, "documents"), shingle=4)
 
 
+def search(spark: SparkSession, folder: str) -> DataFrame:
+    return vectors.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
+
+
+SEARCH_SQL = """
+with q as (
+    select vec_id, row_number() over () as r,
+           list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
+    from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
+), scored as (
+    select a.vec_id as query_id, a.r, b.vec_id,
+           list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
+    from q a join q b on a.r <> b.r and len(a.v) = len(b.v) where a.vec_id % 50 = 0
+)
+select query_id, cast(n as integer) as rank, vec_id, score from (
+    select *, row_number() over (partition by r order by score desc, vec_id) as n from scored
+) where n <= 5"""
+
+
 QUERIES = {
     "op1_packing": Query(pack),
     "op2_sharding": Query(shard),
+    "op5_vector_search": Query(search, SEARCH_SQL),
     "op6_token_file": Query(token_file),
     "op7_decontamination": Query(decontaminate),
     "op8_minhash": Query(dedup),
