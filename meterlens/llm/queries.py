@@ -7,7 +7,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlens.catalog.base import Query
-from meterlens.llm import decontamination, neardup, packing, sharding, tokenfile, vectors
+from meterlens.llm import (
+    decontamination, neardup, packing, quality, sharding, tokenfile, toxicity, vectors,
+)
 from meterlens.llm.common import table
 
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
@@ -41,6 +43,14 @@ def search(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def toxic(spark: SparkSession, folder: str) -> DataFrame:
+    return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
+def good(spark: SparkSession, folder: str) -> DataFrame:
+    return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 SEARCH_SQL = """
 with q as (
     select vec_id, row_number() over () as r,
@@ -59,8 +69,10 @@ select query_id, cast(n as integer) as rank, vec_id, score from (
 QUERIES = {
     "op1_packing": Query(pack),
     "op2_sharding": Query(shard),
+    "op4_toxicity": Query(toxic),
     "op5_vector_search": Query(search, SEARCH_SQL),
     "op6_token_file": Query(token_file),
     "op7_decontamination": Query(decontaminate),
     "op8_minhash": Query(dedup),
+    "op9_quality": Query(good),
 }
