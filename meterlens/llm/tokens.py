@@ -17,9 +17,9 @@ import re
 import numpy as np
 
 PIECE_BYTES = 48
-# Pieces, and words in them, that a worker remembers before it starts anew: 200 MB at most.
-CACHE_PIECES = 400_000
-CACHE_WORDS = 500_000
+# Pieces, and words in them, that a worker remembers before it starts anew: 300 MB at most.
+CACHE_PIECES = 800_000
+CACHE_WORDS = 1_000_000
 PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 WORD = re.compile(rb"[a-z]+")
 
@@ -45,8 +45,11 @@ class Encoder(dict):
             return self._whole(piece)
         if len(self) >= CACHE_PIECES:
             self.clear()
-        if piece.isascii() and b"'" not in piece and b"<|" not in piece:
-            ids = b"".join([self.words.get(p) or self._word(p) for p in PARTS.findall(piece.lower())])
+        lower = piece.lower()
+        if lower.isalpha():  # ASCII letters alone
+            ids = self.words.get(lower) or self._word(lower)
+        elif piece.isascii() and b"'" not in piece and b"<|" not in piece:
+            ids = b"".join([self.words.get(p) or self._word(p) for p in PARTS.findall(lower)])
         else:
             ids = self.words.get(piece) or self._word(piece)
         self[piece] = ids
