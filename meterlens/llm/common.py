@@ -62,3 +62,11 @@ def small_side(settled: DataFrame, rows: int = 1_000_000, file_bytes: int = 32 <
     if estimated_bytes(settled) <= file_bytes and settled.count() <= rows:
         return F.broadcast(settled)
     return settled
+
+
+def fresh(df: DataFrame, name: str) -> str:
+    """``name``, with underscores in front until no column of ``df`` has it."""
+    taken = {c.lower() for c in df.columns}
+    while name.lower() in taken:
+        name = f"_{name}"
+    return name

@@ -8,10 +8,13 @@ from pyspark.sql import functions as F
 
 from meterlens.catalog.base import Query
 from meterlens.llm import (
-    decontamination, neardup, packing, quality, sharding, tokenfile, toxicity, vectors,
+    decontamination, licences, neardup, packing, pii, quality, sharding, tokenfile, toxicity,
+    vectors,
 )
 from meterlens.llm.common import table
 
+# The key of a real run comes from spark.meterlens.pii.key.
+EXAMPLE_KEY = "an example key"
 TOKENIZER = public_tokenizers.path("word_bpe_49k.json")
 
 
@@ -43,6 +46,18 @@ def search(spark: SparkSession, folder: str) -> DataFrame:
     return vectors.top_k(table(spark, folder, "embeddings"), F.col("vec_id") % 50 == 0)
 
 
+def pii_key(spark: SparkSession) -> bytes:
+    return spark.conf.get("spark.meterlens.pii.key", EXAMPLE_KEY).encode()
+
+
+def private(spark: SparkSession, folder: str) -> DataFrame:
+    return pii.surrogates(table(spark, folder, "documents").select("doc_id", "text"), pii_key(spark))
+
+
+def licensed(spark: SparkSession, folder: str) -> DataFrame:
+    return licences.digest(licences.scan(table(spark, folder, "documents")))
+
+
 def toxic(spark: SparkSession, folder: str) -> DataFrame:
     return toxicity.toxicity(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
@@ -69,10 +84,12 @@ select query_id, cast(n as integer) as rank, vec_id, score from (
 QUERIES = {
     "op1_packing": Query(pack),
     "op2_sharding": Query(shard),
+    "op3_pii": Query(private),
     "op4_toxicity": Query(toxic),
     "op5_vector_search": Query(search, SEARCH_SQL),
     "op6_token_file": Query(token_file),
     "op7_decontamination": Query(decontaminate),
     "op8_minhash": Query(dedup),
     "op9_quality": Query(good),
+    "op10_licences": Query(licensed),
 }

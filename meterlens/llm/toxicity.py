@@ -115,22 +115,41 @@ def fit_logistic(
     return w[:width], float(w[width])
 
 
-def _scores(buckets: np.ndarray, weights: np.ndarray, intercept: float):
+def _by_bucket(buckets: np.ndarray, weights: np.ndarray, intercept: float):
+    """Scores of a column of texts."""
+    wanted, by_bucket = _flags(buckets), np.zeros(BUCKETS)
+    by_bucket[buckets] = weights
+
+    def scores(texts: pa.Array) -> np.ndarray:
+        total = np.array(
+            [by_bucket[gram_buckets(t.as_py(), wanted)].sum() for t in texts], np.float64
+        )
+        return 1 / (1 + np.exp(-np.clip(total + intercept, -35, 35)))
+
+    return scores
+
+
+def _scores(model: tuple):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        wanted, by_bucket = _flags(buckets), np.zeros(BUCKETS)
-        by_bucket[buckets] = weights
+        scores = _by_bucket(*model)
         for batch in batches:
-            total = np.array([
-                by_bucket[gram_buckets(t.as_py(), wanted)].sum() for t in batch.column("text")
-            ], np.float64) + intercept
-            score = 1 / (1 + np.exp(-np.clip(total, -35, 35)))
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), pa.array(score, pa.float64())], names=["doc_id", "score"]
+                [batch.column("doc_id"), pa.array(scores(batch.column("text")), pa.float64())],
+                names=["doc_id", "score"],
             )
 
     return run
 
 
+def _below(model: tuple, text_column: str, limit: float):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        scores = _by_bucket(*model)
+        for batch in batches:
+            yield batch.filter(pa.array(scores(batch.column(text_column)) < limit))
+
+    return run
+
+
 def train(texts: DataFrame, labels: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS):
     """(buckets, weights, intercept) from texts (doc_id, text) and labels (doc_id, label)."""
     sizes = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
@@ -190,5 +209,19 @@ def toxicity(
     model = train(texts, known, features, fit_rows)
     kind = texts.schema["doc_id"].dataType.simpleString()
     return decided(
-        texts.mapInArrow(_scores(*model), f"doc_id {kind}, score double"), FOLDS, HELD_OUT
+        texts.mapInArrow(_scores(model), f"doc_id {kind}, score double"), FOLDS, HELD_OUT
     )
+
+
+def without_toxic(
+    docs: DataFrame,
+    labels: DataFrame,
+    id_column: str = "doc_id",
+    text_column: str = "text",
+    label_column: str = "toxic",
+    limit: float = 0.5,
+) -> DataFrame:
+    """The rows of ``docs``, as they are, that score below ``limit``."""
+    texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))
+    known = training_labels(labels, id_column, label_column, FOLDS, HELD_OUT)
+    return docs.mapInArrow(_below(train(texts, known), text_column, limit), docs.schema)
