@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 
 from meterlens.catalog.base import Query, lodging_rooms, rounded, selected, sql
 from meterlens.catalog.base import located as located_readings
-from meterlens.config import AnomalyParams, ForestParams, TreeParams
+from meterlens.config import AnomalyParams, ForestParams, SeasonalParams, TreeParams
 from meterlens.functions.calendar import add_time_features
 from meterlens.operators import blend, filters
 from meterlens.operators.isolation import detect_isolation
@@ -21,6 +21,7 @@ from meterlens.plans.features import feature_columns, run_pipeline
 from meterlens.plans.load import run_load_plans
 from meterlens.session import settle
 from meterlens.sources import tables
+from meterlens.sources.readers import stack
 from meterlens.sources.sinks import hour_map
 
 FEW_TREES = TreeParams(trees=8, depth=4)
@@ -84,7 +85,7 @@ def _suite(s, d):
         "linear": lambda: models.standardised_regression(matrix, features),
     }
     results, status = models.train_suite(s, members)
-    return model_metrics(stack_results(results)).join(status, "model")
+    return status.join(model_metrics(stack_results(results)), "model", "left")
 
 
 def _ablation(s, d):
@@ -99,16 +100,26 @@ def _residual(s, d):
 
 def _forecast_metrics(s, d):
     train, val = models.parts(settle(chronological_split(tables.electricity(s, d))))
-    pairs = forecast.align_forecast(forecast.seasonal_forecast(train), val)
+    ahead = SeasonalParams(horizon=forecast.hours_ahead(val))
+    pairs = forecast.align_forecast(forecast.seasonal_forecast(train, ahead), val)
     return model_metrics(pairs, ["building_id"])
 
 
 def _plan_maps(s, d):
-    """Every building's planned profile as an hour -> kW map."""
+    """All results of a planning run per building: hourly ones as hour -> value maps."""
     plans = run_load_plans(located_readings(s, d), lodging_rooms(s, d), ["building_id"])
-    return plans["peak_shaving"].groupBy("building_id").agg(
-        F.to_json(hour_map("hour", "shaved_load")).alias("shaved_load")
-    )
+    rows = []
+    for name, plan in plans.items():
+        values = [c for c in plan.columns if c not in ("building_id", "hour")]
+        by_hour = "hour" in plan.columns
+        plan = plan.groupBy("building_id").agg(*(
+            F.to_json(hour_map("hour", c)).alias(c) if by_hour else F.first(c).cast("string").alias(c)
+            for c in values
+        ))
+        rows.append(plan.select("building_id", F.lit(name).alias("plan"), F.explode(
+            F.create_map(*(x for c in values for x in (F.lit(c), F.col(c))))
+        ).alias("value", "content")))
+    return stack(rows)
 
 
 STACK_SQL = """

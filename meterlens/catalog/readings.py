@@ -10,7 +10,7 @@ from meterlens.functions.calendar import add_holiday_flag, add_time_features, ho
 from meterlens.operators import filters, profiles, scores
 from meterlens.operators.fills import fill_weather, hourly_grid
 from meterlens.operators.joins import enrich
-from meterlens.operators.ranks import chronological_split
+from meterlens.operators.ranks import chronological_split, contiguous_folds
 from meterlens.operators.windows import add_history_features, add_sequences
 from meterlens.plans.features import add_log_target, feature_matrix, filled_buildings, run_pipeline
 from meterlens.plans.load import savings_calculator
@@ -124,11 +124,22 @@ def _scaled(spark, d):
 
 
 def _calculator(spark, d):
-    days = selected(spark, d).groupBy("building_id", F.to_date("timestamp").alias("day")).agg(
-        F.sum("meter_reading").alias("kwh")
+    """Sums, means and products of readings as decimals, rounded once."""
+    kwh = selected(spark, d).groupBy("building_id").agg(
+        F.sum(F.col("meter_reading").cast("decimal(20,6)")).cast("decimal(20,6)").alias("kwh"),
+        F.count_distinct(F.to_date("timestamp")).cast("decimal(10,0)").alias("days"),
     )
-    daily = days.groupBy("building_id").agg(F.avg("kwh").alias("daily_kwh"))
-    return rounded(savings_calculator(daily), 4)
+    daily = kwh.select("building_id", (F.col("kwh") / F.col("days")).alias("daily_kwh"))
+    saved = savings_calculator(daily)
+    return saved.select("building_id", *(
+        F.round(c, 4).cast("double").alias(c) for c in saved.columns if c != "building_id"
+    ))
+
+
+def _rational(numerator: int, denominator: int, name: str) -> str:
+    """SQL of a share of the daily mean t / n (t in millionths), rounded half up to 4 places."""
+    above, below = 2 * 10_000 * numerator, 1_000_000 * denominator
+    return f"((t * {above} + n * {below}) // (2 * n * {below}))::double / 10000 as {name}"
 
 
 def _holidays(spark, d):
@@ -139,6 +150,17 @@ def _holidays(spark, d):
     ))
 
 
+HOURLY_SQL = """
+          select g.building_id, g.timestamp,
+            round(coalesce(last_value(meter_reading ignore nulls) over (partition by g.building_id
+              order by g.timestamp rows between unbounded preceding and current row),
+            first_value(meter_reading ignore nulls) over (partition by g.building_id
+              order by g.timestamp rows between unbounded preceding and unbounded following)), 6)
+            as meter_reading
+          from (select building_id, unnest(generate_series(min(timestamp), max(timestamp),
+                  interval 1 hour)) as timestamp from sel group by building_id) g
+          left join sel s on g.building_id = s.building_id and g.timestamp = s.timestamp"""
+
 SEQ_SQL = """select building_id, timestamp, meter_reading, cast(len(s) as integer) as n,
   round(list_sum(s), 6) as seq_sum, s[1] as seq_first, s[-1] as seq_last"""
 
@@ -276,15 +298,7 @@ READINGS = {
     ),
     "hourly_regularise": Query(
         lambda s, d: rounded(hourly_grid(selected(s, d))),
-        sql("""select g.building_id, g.timestamp,
-            round(coalesce(last_value(meter_reading ignore nulls) over (partition by g.building_id
-              order by g.timestamp rows between unbounded preceding and current row),
-            first_value(meter_reading ignore nulls) over (partition by g.building_id
-              order by g.timestamp rows between unbounded preceding and unbounded following)), 6)
-            as meter_reading
-          from (select building_id, unnest(generate_series(min(timestamp), max(timestamp),
-                  interval 1 hour)) as timestamp from sel group by building_id) g
-          left join sel s on g.building_id = s.building_id and g.timestamp = s.timestamp""", "sel"),
+        sql(HOURLY_SQL, "sel"),
     ),
     "building_means": Query(
         lambda s, d: rounded(profiles.building_means(selected(s, d))),
@@ -341,15 +355,68 @@ READINGS = {
           round((hour(timestamp) - avg(hour(timestamp)) over ())
             / stddev_pop(hour(timestamp)) over (), 6) + 0.0 as hour_scaled from sel""", "sel"),
     ),
+    # The plans for large tables, forced on the same rows.
+    "building_fill_spread": Query(
+        lambda s, d: rounded(filled_buildings(tables.buildings(s, d), small_bytes=0)),
+        sql("""select building_id, site_id, primary_use, round(square_feet, 6) as square_feet,
+          year_built, floor_count from lodging""", "lodging"),
+    ),
+    "weather_fill_spread": Query(
+        lambda s, d: rounded(fill_weather(tables.weather(s, d), small_bytes=0)),
+        sql("select site_id, timestamp, " + ", ".join(
+            f"round({c}, 6) as {c}" for c in WEATHER_FEATURES) + " from filled_weather",
+            "filled_weather"),
+    ),
+    "enriched_readings_spread": Query(
+        lambda s, d: rounded(enrich(
+            filters.positive(filters.target_meter(tables.readings(s, d))).drop("meter"),
+            filled_buildings(tables.buildings(s, d), small_bytes=0),
+            fill_weather(tables.weather(s, d), small_bytes=0), small_bytes=0,
+        )),
+        sql("""select e.building_id, e.timestamp, e.meter_reading, l.site_id,
+          round(coalesce(l.square_feet, median(l.square_feet) over ()), 6) as square_feet,
+          coalesce(l.year_built, median(l.year_built) over ()) as year_built,
+          coalesce(l.floor_count, median(l.floor_count) over ()) as floor_count, """
+            + ", ".join(f"round(coalesce(w.{c}, 0), 6) as {c}" for c in WEATHER_FEATURES) + """
+          from elec e left join lodging l on e.building_id = l.building_id
+          left join filled_weather w on l.site_id = w.site_id and e.timestamp = w.timestamp""",
+            "elec", "lodging", "filled_weather"),
+    ),
+    "lag_features_split": Query(
+        lambda s, d: add_history_features(
+            selected(s, d), rolling=[], split_above=40, small_bytes=0),
+        sql(f"select building_id, timestamp, meter_reading, {_lag_sql(LAGS)} from sel", "sel"),
+    ),
+    "rolling_features_split": Query(
+        lambda s, d: rounded(add_history_features(
+            selected(s, d), lags=[], split_above=40, small_bytes=0)),
+        sql(f"select building_id, timestamp, meter_reading, {_rolling_sql(ROLLING)} from sel",
+            "sel"),
+    ),
+    "chronological_split_spread": Query(
+        lambda s, d: chronological_split(selected(s, d), small_bytes=0),
+        sql("select building_id, timestamp, meter_reading, is_val from split", "split"),
+    ),
+    "contiguous_folds_spread": Query(
+        lambda s, d: contiguous_folds(selected(s, d), small_bytes=0),
+        sql("""select building_id, timestamp, meter_reading,
+            cast(case when rn <= (size + 1) * extra then (rn - 1) // (size + 1)
+              else extra + (rn - 1 - (size + 1) * extra) // size end as integer) as fold
+          from (select *, row_number() over (order by timestamp, building_id) as rn,
+            count(*) over () // 5 as size, count(*) over () % 5 as extra from sel) x""", "sel"),
+    ),
+    "hourly_regularise_spread": Query(
+        lambda s, d: rounded(hourly_grid(selected(s, d), small_bytes=0)),
+        sql(HOURLY_SQL, "sel"),
+    ),
     "savings_calculator": Query(
         _calculator,
-        sql("""select building_id, round(k, 4) as daily_kwh, round(k * 20 / 100, 4) as saved_kwh,
-          round(k * 20 / 100 * 0.82::double, 4) as co2_kg,
-          round(k * 20 / 100 * 8 * 30, 4) as monthly_cost_saved,
-          round(k * 20 / 100 * 0.82::double * 365 / 1000, 4) as annual_co2_tonnes
-          from (select building_id, avg(t) as k from (select building_id,
-              cast(timestamp as date) as day, sum(meter_reading) as t from sel group by 1, 2) x
-            group by building_id) y""", "sel"),
+        sql(f"""select building_id, {_rational(1, 1, 'daily_kwh')},
+          {_rational(20, 100, 'saved_kwh')}, {_rational(20 * 82, 100 * 100, 'co2_kg')},
+          {_rational(20 * 8 * 30, 100, 'monthly_cost_saved')},
+          {_rational(20 * 82 * 365, 100 * 100 * 1000, 'annual_co2_tonnes')}
+          from (select building_id, sum(cast(round(meter_reading * 1000000) as hugeint)) as t,
+              count(distinct cast(timestamp as date))::hugeint as n from sel group by 1) y""", "sel"),
     ),
     "feature_split": Query(
         lambda s, d: run_pipeline(

@@ -48,7 +48,8 @@ def fill_along_time(
     Back filling only reaches rows before the first value, so it equals the
     first value of the group. Larger tables are filled in (group, month)
     chunks: the value carried into a chunk comes from a small table with the
-    last value of every chunk, so a hot group is spread over many tasks.
+    last value of every chunk, so a hot group is spread over many tasks. Rows
+    with a NULL key are a group, rows with a NULL time come first in theirs.
     """
     if is_small(df, small_bytes):
         w = Window.partitionBy(*keys).orderBy(order)
@@ -68,7 +69,7 @@ def fill_along_time(
     placed = df.withColumn("_chunk", F.date_trunc(chunk, F.col(order)))
 
     def known(c: str):
-        return F.when(F.col(c).isNotNull(), F.col(order))
+        return F.when(F.col(c).isNotNull(), F.struct(order))  # NULL times order first
 
     chunks = placed.groupBy(*keys, "_chunk").agg(
         *[F.max_by(c, known(c)).alias(f"_last_{c}") for c in columns],
@@ -93,7 +94,11 @@ def fill_along_time(
         .orderBy(order)
         .rowsBetween(Window.unboundedPreceding, 0)
     )
-    return placed.join(carried, [*keys, "_chunk"]).select(
+    named = carried.select(
+        *[F.col(k).alias(f"_at_{k}") for k in (*keys, "_chunk")], *[f"_carry_{c}" for c in columns]
+    )
+    same = [F.col(k).eqNullSafe(F.col(f"_at_{k}")) for k in (*keys, "_chunk")]
+    return placed.join(named, same, "left").select(
         *[
             F.coalesce(F.last(c, ignorenulls=True).over(inside), F.col(f"_carry_{c}")).alias(c)
             if c in columns
@@ -118,15 +123,17 @@ def hourly_grid(
 ) -> DataFrame:
     """One row per group and hour between its first and last reading.
 
-    Readings of the same hour are averaged and gaps filled along time.
+    Readings of the same hour are averaged and gaps filled along time: every
+    reading is repeated up to the next one, so no row holds more than one gap.
+    A group has one row per hour of the calendar here, not per reading.
     """
     keys = list(keys)
     hourly = df.groupBy(
         *keys, F.date_trunc("hour", F.col(ts)).cast("timestamp_ntz").alias(ts)
-    ).agg(F.avg(target).alias(target))
-    span = hourly.groupBy(*keys).agg(F.min(ts).alias("_first"), F.max(ts).alias("_last"))
-    grid = span.select(
-        *keys,
-        F.explode(F.sequence("_first", "_last", F.expr("interval 1 hour"))).alias(ts),
+    ).agg(F.avg(target).alias(target)).filter(F.col(ts).isNotNull())
+    filled = fill_along_time(hourly, keys, [target], ts, **sizing)
+    hour = F.expr("interval 1 hour")
+    upto = F.lead(ts).over(Window.partitionBy(*keys).orderBy(ts)) - hour
+    return filled.withColumn("_upto", F.coalesce(upto, F.col(ts))).select(
+        *keys, F.explode(F.sequence(F.col(ts), F.col("_upto"), hour)).alias(ts), target
     )
-    return fill_along_time(grid.join(hourly, [*keys, ts], "left"), keys, [target], ts, **sizing)

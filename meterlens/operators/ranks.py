@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Callable
 from functools import reduce
+from math import ceil, floor
 
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
@@ -13,6 +14,8 @@ from meterlens.session import SMALL_BYTES, is_small, settle
 
 # Error bound of percentile_approx is 1 / ACCURACY of the rows.
 ACCURACY = 10_000
+# Ranges that a quantile search counts at a time.
+RANGES = 1000
 
 
 def exact_quantiles(
@@ -21,49 +24,60 @@ def exact_quantiles(
     """Exact linearly interpolated quantiles, as one scalar struct of columns.
 
     A small table uses ``percentile``, which keeps every distinct value in one
-    buffer. A large one first brackets the quantile with ``percentile_approx``
-    (guaranteed rank error), then ranks only the values inside the bracket, a
-    few ten-thousandths of the rows. NULLs are skipped.
+    buffer. A large one counts its rows in equal ranges and goes on with the
+    range that holds the quantile until that range is one value. NULLs are
+    skipped.
     """
     if is_small(df, small_bytes):
         return df.agg(
             F.struct(*[F.percentile(c, F.lit(q)).alias(c) for c in columns]).alias("q")
         ).scalar()
-    return F.struct(*[_bracketed_quantile(df, c, q).alias(c) for c in columns])
+    return F.struct(*[F.lit(_searched_quantile(df, c, q)).cast("double").alias(c) for c in columns])
 
 
-def _bracketed_quantile(df: DataFrame, column: str, q: float) -> Column:
-    slack = 2.0 / ACCURACY
-    low, high = max(0.0, q - slack), min(1.0, q + slack)
+def _searched_quantile(df: DataFrame, column: str, q: float) -> float | None:
+    """Jobs that each return at most ``RANGES`` rows: no task or driver ranks values."""
     values = df.select(F.col(column).cast("double").alias("v")).filter(F.col("v").isNotNull())
-    summary = values.agg(
-        F.struct(
-            F.percentile_approx("v", [low, high], ACCURACY).alias("edge"),
-            F.min("v").alias("least"),
-            F.max("v").alias("most"),
-            F.count("v").alias("n"),
-        ).alias("s")
-    ).select(
-        F.struct(
-            # A bracket that touches an end of the data is opened to that end.
-            (F.col("s.least") if low == 0.0 else F.col("s.edge")[0]).alias("lowest"),
-            (F.col("s.most") if high == 1.0 else F.col("s.edge")[1]).alias("highest"),
-            ((F.col("s.n") - 1) * q).alias("position"),
-        ).alias("b")
-    )
-    placed = values.select("v", summary.scalar().alias("b"))
-    # One pass: rows below the bracket become a single group, rows above go.
-    counted = (
-        placed.filter(F.col("v") <= F.col("b.highest"))
-        .groupBy(F.when(F.col("v") >= F.col("b.lowest"), F.col("v")).alias("inside"))
-        .agg(F.count("*").alias("n"), F.first("b.position").alias("position"))
+    whole = values.agg(F.min("v"), F.max("v"), F.count("v")).first()
+    low, high, n = whole
+    if not n:
+        return None
+    position = (n - 1) * q
+    lower, upper = floor(position), ceil(position)
+    before = 0
+    while low < high:
+        # Halved first: the span of two doubles may be too large for one.
+        width = (high / 2 - low / 2) / RANGES
+        place = F.least(F.floor((F.col("v") / 2 - low / 2) / width), F.lit(RANGES - 1))
+        ranges = (
+            values.filter((F.col("v") >= low) & (F.col("v") <= high)).groupBy(place.alias("range"))
+            .agg(F.count("*").alias("n"), F.min("v").alias("low"), F.max("v").alias("high"))
+            .orderBy("range").collect()
+        )
+        for k, row in enumerate(ranges):
+            if lower < before + row["n"]:
+                break
+            before += row["n"]
+        if upper >= before + row["n"]:  # the two ranks lie in neighbouring ranges
+            least, most = row["high"], ranges[k + 1]["low"]
+            return least + (most - least) * (position - lower)
+        if (row["low"], row["high"]) == (low, high):  # no narrower range in doubles
+            return _between_two(values, low, high, lower - before, upper - before, position - lower)
+        low, high = row["low"], row["high"]
+    return low
+
+
+def _between_two(values: DataFrame, low: float, high: float, lower: int, upper: int, share: float):
+    """Quantile of a range too narrow to divide: it holds a handful of values at most."""
+    counts = (
+        values.filter((F.col("v") >= low) & (F.col("v") <= high)).groupBy("v").count()
+        .orderBy("v").collect()
     )
-    upto = F.sum("n").over(Window.orderBy(F.col("inside").asc_nulls_first()))
-    reached = counted.withColumn("upto", upto)
-    lower = F.min(F.when(F.col("upto") > F.floor("position"), F.col("inside")))
-    upper = F.min(F.when(F.col("upto") > F.ceil("position"), F.col("inside")))
-    share = F.first("position") - F.floor(F.first("position"))
-    return reached.agg((lower + (upper - lower) * share).alias("q")).scalar()
+    found, seen = [], 0
+    for value, n in counts:
+        found += [value for rank in (lower, upper) if seen <= rank < seen + n]
+        seen += n
+    return found[0] + (found[-1] - found[0]) * share
 
 
 def exact_medians(df: DataFrame, columns: list[str], **sizing) -> Column:
@@ -89,7 +103,10 @@ def _ranked_ids(at: DataFrame, ts: str, key: str, small_bytes: int) -> DataFrame
         F.sum("count").over(Window.partitionBy(ts).orderBy("_bin")) - F.col("count"),
     ).drop("count")
     inside = F.row_number().over(Window.partitionBy(ts, "_bin").orderBy(key))
-    return binned.join(F.broadcast(starts), [ts, "_bin"]).withColumn("_pos", inside + F.col("_start"))
+    named = starts.toDF("_at", "_of", "_start")
+    same = F.col(ts).eqNullSafe(F.col("_at")) & (F.col("_bin") == F.col("_of"))
+    return binned.join(F.broadcast(named), same).withColumn("_pos", inside + F.col("_start")) \
+        .drop("_at", "_of")
 
 
 def chronological_cuts(
@@ -102,34 +119,53 @@ def chronological_cuts(
     """The (ts, key) of the rows at given positions of a table ordered by both.
 
     ``positions(n)`` maps the row count to an array column of row numbers.
-    (key, ts) must be unique. Two jobs fetch a handful of boundary values: the
-    first sums per-hour counts in order (hours of the calendar, not rows), the
-    second reads only the boundary hours, by a filter that reaches the scan,
-    and ranks their rows.
+    (key, ts) must be unique; rows with a NULL time come last. Three jobs fetch
+    a handful of boundary values: the first sums counts per day in order, the
+    second counts per time within the boundary days, the third reads only the
+    boundary times, by a filter that reaches the scan, and ranks their rows.
     """
-    everything = Window.orderBy(ts).rowsBetween(
+    day = F.date_trunc("day", F.col(ts))
+    everything = Window.orderBy("day").rowsBetween(
         Window.unboundedPreceding, Window.unboundedFollowing
     )
-    boundary = (
-        df.groupBy(ts)
+    days = (
+        df.groupBy(day.alias("day"))
         .agg(F.count("*").alias("n"))
-        .withColumn("upto", F.sum("n").over(Window.orderBy(ts)))
+        .withColumn("upto", F.sum("n").over(Window.orderBy(F.col("day").asc_nulls_last())))
         .withColumn("rows", F.sum("n").over(everything))
         .withColumn("cut", F.explode(positions(F.col("rows"))))
         .filter((F.col("upto") >= F.col("cut")) & (F.col("upto") - F.col("n") < F.col("cut")))
-        .select(F.col(ts).cast("string").alias("at"), (F.col("cut") - F.col("upto") + F.col("n")).alias("rank"))
+        .select(F.col("day").cast("string").alias("day"), (F.col("cut") - F.col("upto") + F.col("n")).alias("rank"))
         .distinct()
         .collect()  # one row per cut
     )
-    if not boundary:
+    if not days:
         return []
+    of_day = F.col("day").cast("string")
+    within = reduce(lambda a, b: a | b, [
+        of_day.eqNullSafe(F.lit(r["day"])) & (F.col("cut") == r["rank"]) for r in days
+    ])
+    boundary = (
+        df.filter(_one_of(day.cast("string"), [r["day"] for r in days]))
+        .groupBy(day.alias("day"), ts)
+        .agg(F.count("*").alias("n"))
+        .withColumn("upto", F.sum("n").over(Window.partitionBy("day").orderBy(ts)))
+        .withColumn("cut", F.explode(F.array(*[F.lit(r["rank"]) for r in days])))
+        .filter(within)
+        .filter((F.col("upto") >= F.col("cut")) & (F.col("upto") - F.col("n") < F.col("cut")))
+        .select(F.col(ts).cast("string").alias("at"), (F.col("cut") - F.col("upto") + F.col("n")).alias("rank"))
+        .distinct()
+        .collect()  # one row per cut
+    )
     kind = df.schema[ts].dataType
-    hours = sorted({row["at"] for row in boundary})
-    at = df.select(ts, key).filter(F.col(ts).isin(*[F.lit(h).cast(kind) for h in hours]))
+    hours = {row["at"] for row in boundary}
+    at = df.select(ts, key).filter(
+        _one_of(F.col(ts), [h and F.lit(h).cast(kind) for h in hours])
+    )
     if not is_small(at, small_bytes):
         at = settle(at)
     wanted = [
-        (F.col(ts) == F.lit(row["at"]).cast(kind)) & (F.col("_pos") == row["rank"])
+        F.col(ts).eqNullSafe(F.lit(row["at"]).cast(kind)) & (F.col("_pos") == row["rank"])
         for row in boundary
     ]
     found = (
@@ -138,13 +174,26 @@ def chronological_cuts(
         .select(F.col(ts).cast("string").alias("at"), F.col(key).alias("key"))
         .collect()  # one row per cut
     )
-    return sorted((row["at"], row["key"]) for row in found)
+    return sorted(
+        ((row["at"], row["key"]) for row in found),
+        key=lambda cut: (cut[0] is None, cut[0] or "", cut[1] is not None, cut[1]),
+    )
+
+
+def _one_of(value: Column, wanted: list) -> Column:
+    """Is the value among ``wanted``, of which one may be NULL?"""
+    known = [w for w in wanted if w is not None]
+    found = value.isin(*known) if known else F.lit(False)
+    return (found | value.isNull()) if len(known) < len(wanted) else found
 
 
-def _after(df: DataFrame, cut: tuple[str, int], ts: str, key: str) -> Column:
-    """Does a row come after the cut row?"""
+def _after(df: DataFrame, cut: tuple[str | None, int | None], ts: str, key: str) -> Column:
+    """Does a row come after the cut row? NULL times come last, NULL keys first."""
+    later = F.col(key).isNotNull() if cut[1] is None else F.coalesce(F.col(key) > cut[1], F.lit(False))
+    if cut[0] is None:
+        return F.col(ts).isNull() & later
     hour = F.lit(cut[0]).cast(df.schema[ts].dataType)
-    return (F.col(ts) > hour) | ((F.col(ts) == hour) & (F.col(key) > cut[1]))
+    return F.coalesce(F.col(ts) > hour, F.lit(True)) | (F.col(ts).eqNullSafe(hour) & later)
 
 
 def chronological_split(

@@ -195,6 +195,8 @@ def add_standardised(
 
 
 def stack_results(results: dict[str, DataFrame]) -> DataFrame:
-    """Per-model prediction tables as one long table with a ``model`` column."""
+    """Per-model prediction tables (one at least) as one long table with a ``model`` column."""
+    if not results:
+        raise ValueError("no model has predictions to stack")
     named = [table.withColumn("model", F.lit(name)) for name, table in results.items()]
     return reduce(lambda a, b: a.unionByName(b), named)

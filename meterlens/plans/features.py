@@ -27,9 +27,9 @@ CONTEXT_PARTS = [
 ]
 
 
-def filled_buildings(buildings: DataFrame) -> DataFrame:
+def filled_buildings(buildings: DataFrame, **sizing) -> DataFrame:
     """Lodging buildings; missing year and floors get the median over them."""
-    return fill_medians(lodging(buildings), ["year_built", "floor_count"])
+    return fill_medians(lodging(buildings), ["year_built", "floor_count"], **sizing)
 
 
 def add_log_target(df: DataFrame) -> DataFrame:

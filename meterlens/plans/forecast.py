@@ -13,39 +13,43 @@ from meterlens.operators.fills import hourly_grid
 from meterlens.operators.filters import tail_rows
 from meterlens.operators.windows import history_windows
 
+WEEK = 168
 
-def recent_hours(df: DataFrame, hours: int, target: str = TARGET) -> DataFrame:
-    """At most ``hours`` hourly rows per building, enough for its last hours.
 
-    Either the last hours have no gap, or an earlier row is among these and
-    carries its value into the first gap.
+def recent_hours(df: DataFrame, hours: int | None, target: str = TARGET) -> DataFrame:
+    """Hourly rows per building, or (``hours`` given) enough of them for its last hours.
+
+    A building has one row per hour of the calendar, however many readings it has.
+    Of a limited history either the last hours have no gap, or an earlier row is
+    among these and carries its value into the first gap.
     """
     hourly = df.groupBy(
         "building_id", F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("timestamp")
     ).agg(F.avg(target).alias(target))
-    return tail_rows(hourly, ["building_id"], hours)
+    return hourly if hours is None else tail_rows(hourly, ["building_id"], hours)
 
 
-def _regular(pdf: pd.DataFrame, hours: int, target: str) -> pd.Series:
-    """Gap-free hourly series of the last ``hours`` hours of one building."""
+def _regular(pdf: pd.DataFrame, hours: int | None, target: str) -> pd.Series:
+    """Gap-free hourly series of the last ``hours`` hours (None: all) of one building."""
     series = pdf.set_index("timestamp")[target].sort_index()
     grid = pd.date_range(series.index[0], series.index[-1], freq="h")
-    return series.reindex(grid).ffill().bfill().iloc[-hours:]
+    return series.reindex(grid).ffill().bfill().iloc[-hours if hours else 0:]
 
 
 def seasonal_forecast(
     train: DataFrame, p: SeasonalParams = SeasonalParams(), target: str = TARGET
 ) -> DataFrame:
-    """(building_id, step, timestamp, prediction) for the next ``horizon`` hours."""
+    """(building_id, step, timestamp, prediction) for the next ``horizon`` hours (None: a week)."""
+    horizon = p.horizon or WEEK
 
     def forecast(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
         series = _regular(pdf, p.history, target)
         model = fit_arma(series.to_numpy(), p.order, p.seasonal, p.season)
         if model is None:
-            values = np.full(p.horizon, max(float(series.iloc[-1]), 0.0))
+            values = np.full(horizon, max(float(series.iloc[-1]), 0.0))
         else:
-            values = forecast_arma(model, p.horizon)
-        steps = np.arange(1, p.horizon + 1)
+            values = forecast_arma(model, horizon)
+        steps = np.arange(1, horizon + 1)
         return pd.DataFrame(
             {
                 "building_id": key[0],
@@ -100,6 +104,12 @@ def best_orders(scores: DataFrame) -> DataFrame:
     ).select("building_id", "o.p", "o.d", "o.q", "aic", "n_orders")
 
 
+def hours_ahead(val: DataFrame, target: str = TARGET) -> int:
+    """Hours of the longest validation series: the horizon that covers all of them."""
+    spans = hourly_grid(val, target=target).groupBy("building_id").count()
+    return spans.agg(F.max("count")).first()[0] or 1
+
+
 def align_forecast(forecast: DataFrame, val: DataFrame, target: str = TARGET) -> DataFrame:
     """Forecast steps next to the regularised validation hours, in order."""
     grid = hourly_grid(val, target=target)

@@ -7,6 +7,8 @@ A group has at most 24 rows, so windows over it are bounded.
 
 from __future__ import annotations
 
+from decimal import Decimal
+
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -233,14 +235,18 @@ def savings_projection(plan: DataFrame, column: str = "total_daily_savings") ->
 
 
 def savings_calculator(daily: DataFrame, savings_pct: float = 20.0, p: PlanParams = DEFAULT) -> DataFrame:
-    """Energy, CO2 and cost saved when a share of ``daily_kwh`` is avoided."""
-    saved = F.col("daily_kwh") * savings_pct / 100
+    """Energy, CO2 and cost saved when a share of ``daily_kwh`` is avoided.
+
+    Parameters enter as decimals, so a decimal ``daily_kwh`` gives exact results.
+    """
+    share, carbon, rate = (F.lit(Decimal(str(x))) for x in (savings_pct, p.carbon_factor, p.rate_peak))
+    saved = F.col("daily_kwh") * share / 100
     return daily.select(
         "*",
         saved.alias("saved_kwh"),
-        (saved * p.carbon_factor).alias("co2_kg"),
-        (saved * p.rate_peak * 30).alias("monthly_cost_saved"),
-        (saved * p.carbon_factor * 365 / 1000).alias("annual_co2_tonnes"),
+        (saved * carbon).alias("co2_kg"),
+        (saved * rate * 30).alias("monthly_cost_saved"),
+        (saved * carbon * 365 / 1000).alias("annual_co2_tonnes"),
     )
 
 

@@ -18,6 +18,7 @@ from meterlens.operators.filters import with_history
 from meterlens.operators.scores import add_standardised, fit_scaler, model_metrics, stack_results
 from meterlens.operators.windows import add_sequences
 from meterlens.plans.features import feature_branches, without_group
+from meterlens.session import settle
 from meterlens.sources.readers import require_rows
 
 KEYS = ["building_id", "timestamp"]
@@ -202,14 +203,17 @@ def ablation(
 def train_suite(
     spark: SparkSession, members: dict[str, Callable[[], DataFrame]]
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Run every member; a failing one becomes a status row, the rest go on."""
+    """Run every member to its end; a failing one becomes a status row, the rest go on.
+
+    Predictions are written as they are made, so a fault while scoring belongs to its member.
+    """
     results, status = {}, []
     for name, member in members.items():
         try:
-            results[name] = member()
+            results[name] = settle(member())
             status.append((name, "ok", ""))
         except Exception as error:  # noqa: BLE001 - any member may fail on its own
-            status.append((name, "failed", str(error).split("\n")[0][:500]))
+            status.append((name, "failed", str(error)))
     return results, spark.createDataFrame(status, "model string, status string, message string")
 
 

@@ -26,14 +26,21 @@ def nan_to_null(df: DataFrame) -> DataFrame:
 
 
 def _csv(spark: SparkSession, path, schema: StructType) -> DataFrame:
-    """Read by header name: columns the schema does not list are skipped."""
+    """Read by header name: columns the schema does not list are skipped.
+
+    A file whose header has another order than the first, or a value that is
+    not of its column's type, is an error.
+    """
     paths = [path] if isinstance(path, str) else list(path)
     header = spark.read.option("header", True).csv(paths).columns
     names = {f.name: f for f in schema.fields}
     full = StructType()
     for name in header:
         full = full.add(names[name]) if name in names else full.add(name, "string")
-    table = spark.read.schema(full).option("header", True).csv(paths)
+    table = (
+        spark.read.schema(full).option("header", True)
+        .option("enforceSchema", False).option("mode", "FAILFAST").csv(paths)
+    )
     return nan_to_null(table.select(*[f.name for f in schema.fields if f.name in header]))
 
 

@@ -1,6 +1,7 @@
 import numpy as np
 import pandas as pd
 import pytest
+from pyspark.sql import functions as F
 
 from meterlens.operators.fills import fill_along_time, fill_medians, fill_weather, hourly_grid
 from meterlens.sources.readers import nan_to_null
@@ -64,3 +65,29 @@ def test_hourly_grid(readings, frame, sizing):
         for b, part in frame.groupby("building_id")
     ], ignore_index=True)
     assert np.allclose(got["meter_reading"], want["meter_reading"])
+
+
+@pytest.mark.parametrize("small_bytes", [0, 1 << 30])
+def test_null_keys_and_times_keep_their_rows(spark, small_bytes):
+    rows = [
+        (1, "2016-01-31 23:00:00", 5.0), (1, "2016-02-01 00:00:00", None), (1, None, 4.0),
+        (None, "2016-01-01 00:00:00", None), (None, "2016-03-01 00:00:00", 7.0), (2, None, None),
+    ]
+    df = spark.createDataFrame(rows, "building_id long, timestamp string, v double").withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp_ntz")
+    )
+    filled = fill_along_time(df, ["building_id"], ["v"], small_bytes=small_bytes)
+    got = {(r[0], str(r[1]), r[2]) for r in filled.collect()}
+    assert got == {
+        (1, "2016-01-31 23:00:00", 5.0), (1, "2016-02-01 00:00:00", 5.0), (1, "None", 4.0),
+        (None, "2016-01-01 00:00:00", 7.0), (None, "2016-03-01 00:00:00", 7.0), (2, "None", None),
+    }
+
+
+def test_a_stray_year_makes_no_giant_row(spark):
+    rows = [(1, "1999-12-31 22:30:00", 1.0), (1, "2001-01-01 00:00:00", 2.0), (2, "2001-01-01", 3.0)]
+    df = spark.createDataFrame(rows, "building_id long, timestamp string, meter_reading double") \
+        .withColumn("timestamp", F.col("timestamp").cast("timestamp_ntz"))
+    grid = hourly_grid(df)
+    assert grid.count() == 24 * 366 + 3 + 1
+    assert grid.filter("meter_reading = 2.0").count() == 1

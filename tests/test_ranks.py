@@ -54,3 +54,27 @@ def test_folds_match_unshuffled_kfold(readings, sizing):
     ).orderBy("fold").collect()
     assert [r["n"] for r in got] == want
     assert all(x["b"] <= y["a"] for x, y in zip(got, got[1:]))
+
+
+@pytest.mark.parametrize("small_bytes", [0, 1 << 30])
+@pytest.mark.parametrize("unknown", [1, 9])
+def test_rows_without_time_come_last(spark, small_bytes, unknown):
+    rows = [(k, None if k < unknown else f"2016-01-0{1 + k % 3} 00:00:0{k}") for k in range(10)]
+    df = spark.createDataFrame(rows, "building_id long, timestamp string").withColumn(
+        "timestamp", F.col("timestamp").cast("timestamp_ntz")
+    )
+    split = chronological_split(df, small_bytes=small_bytes).collect()
+    assert sum(not r["is_val"] for r in split) == 8 and len(split) == 10
+    last = sorted(split, key=lambda r: (r[1] is None, str(r[1]), r[0]))
+    assert [r["is_val"] for r in last] == [False] * 8 + [True] * 2
+
+
+def test_searched_quantiles_are_exact(spark):
+    values = [float(np.float64(x)) for x in np.random.default_rng(3).lognormal(0, 9, 4001)]
+    values += [5.0] * 3000 + [-1e300, 1e300, 1e-300]
+    df = spark.createDataFrame([(v,) for v in values] + [(None,)], "v double")
+    for q in (0.0, 0.1, 0.5, 0.9, 1.0):
+        got = df.select(exact_quantiles(df, ["v"], q, small_bytes=0)["v"]).first()[0]
+        assert got == pytest.approx(np.quantile(values, q), rel=1e-12)
+    none = df.filter("v is null")
+    assert none.select(exact_quantiles(none, ["v"], 0.5, small_bytes=0)["v"]).first()[0] is None

@@ -162,3 +162,16 @@ def test_medians_weigh_buildings_by_their_readings(spark, readings):
     assert plain.exceptAll(weighted).count() == 0 and weighted.count() == readings.count()
     filled = plain.filter("building_id = 4").first()
     assert (filled["square_feet"], filled["year_built"]) == (10.0, 1950.0)
+
+
+def test_csv_files_of_another_column_order_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("building_id,meter,timestamp,meter_reading\n1,0,2016-01-01 00:00:00,2.5\n")
+    (tmp_path / "b.csv").write_text("meter,building_id,timestamp,meter_reading\n0,6,2016-01-01 00:00:00,2.5\n")
+    with pytest.raises(Exception, match="(?i)header"):
+        readers.read_readings(spark, [str(tmp_path / "a.csv"), str(tmp_path / "b.csv")]).collect()
+
+
+def test_csv_values_of_another_type_are_refused(spark, tmp_path):
+    (tmp_path / "a.csv").write_text("building_id,meter,timestamp,meter_reading\n1,0,2016-01-01 00:00:00,x\n")
+    with pytest.raises(Exception, match="(?i)malformed"):
+        readers.read_readings(spark, str(tmp_path / "a.csv")).collect()
