@@ -9,10 +9,11 @@
 3. Edges whose signatures and sizes allow the threshold are confirmed on full sets, and
    confirmed edges are joined to components.
 4. A star may miss a link between two outer members. Buckets of four or more classes in
-   which components still meet are compared member by member on signatures, in blocks,
-   and pairs of different components that the signatures allow are confirmed like the
-   others. So no link is lost but by chance: a pair just at 0.8 shares no bucket with a
-   probability of 1e-7, and signatures reject it by five standard deviations or not at all.
+   which components still meet (two stars cover all pairs of three) are gone through in
+   blocks of ``BLOCK`` members: full sets of different components are compared, and one
+   link for each two components that it joins is returned. So no link is lost but by
+   chance: a pair just at 0.8 shares no bucket with a probability of 1e-7, and signatures
+   reject it only if five standard deviations off.
 
 Two different sets get one 64-bit class name with a probability of n**2 / 2**65.
 
@@ -39,7 +40,7 @@ PERCENT = 80
 BIN_BITS = 8
 BINS = 1 << BIN_BITS
 BANDS, ROWS = 40, 5
-BLOCK = 1024
+BLOCK = 512
 DEVIATIONS = 5.0
 
 # Odd multipliers of the shingle hash, one per word of a shingle.
@@ -163,67 +164,88 @@ def _sizes_allow(a, b, percent: int):
     return F.least(a, b) * 100 >= F.greatest(a, b) * percent
 
 
-def _compare(percent: int):
-    """Pairs of different components that signatures allow, from blocks of buckets.
+def _linked(percent: int):
+    """Links between components within a block of a bucket, confirmed on full sets.
 
-    Rows come sorted by (bucket, low, high); a pair is given by the first band it shares.
+    Rows come sorted by (bucket, low, high). Of the links of a row to one component one is
+    enough, and components that a link has joined are one from then on, so a block gives
+    fewer links than it has rows.
     """
-    def pairs(rows: pa.Table) -> Iterator[pa.RecordBatch]:
+    def links(rows: pa.Table) -> Iterator[tuple[int, int]]:
         node, comp, n, own = (rows.column(c).to_numpy() for c in ("node", "component", "n", "own"))
-        low, high = rows.column("low")[0].as_py(), rows.column("high")[0].as_py()
-        band = rows.column("bucket")[0].as_py() & 63
-        marks = np.frombuffer(b"".join(rows.column("marks").to_pylist()), "<u2").reshape(-1, BINS)
-        names, counts = np.unique(comp, return_counts=True)
-        most = names[counts.argmax()]
-        for r in np.flatnonzero(comp != most):
+        across = rows.column("low")[0].as_py() != rows.column("high")[0].as_py()
+        lists = rows.column("shingles").combine_chunks()
+        values = lists.flatten().to_numpy()
+        ends = np.cumsum(n)
+        # Rows of each shingle: all shingles in order, with the row they come from.
+        order = np.argsort(values, kind="stable")
+        holder = np.repeat(np.arange(len(n)), n)[order]
+        begins = np.searchsorted(values[order], values, "left")
+        stops = np.searchsorted(values[order], values, "right")
+        names, comp = np.unique(comp, return_inverse=True)
+        for r in np.argsort(n, kind="stable"):
+            most = np.bincount(comp, minlength=len(names)).argmax()
+            if comp[r] == most:
+                continue
             small, large = np.minimum(n, n[r]), np.maximum(n, n[r])
             other = (comp != comp[r]) & (small * 100 >= large * percent)
-            other &= (comp == most) | (node > node[r])
-            if low != high:
+            if across:
                 other &= own != own[r]
-            at = np.flatnonzero(other)
-            equal = marks[at] == marks[r]
-            fits = equal.mean(axis=1) >= _least_estimate(small[at], percent)
-            shared = equal[fits, :BANDS * ROWS].reshape(-1, BANDS, ROWS).all(axis=2)
-            at = at[fits][shared.argmax(axis=1) == band]
-            if len(at):
-                yield pa.RecordBatch.from_arrays(
-                    [pa.array(np.full(len(at), node[r])), pa.array(node[at])], names=["a", "b"]
-                )
+            if not other.any():
+                continue
+            at = np.arange(ends[r] - n[r], ends[r])
+            common = np.bincount(np.concatenate([
+                holder[x:y] for x, y in zip(begins[at], stops[at])
+            ]), minlength=len(n))
+            for k in np.flatnonzero(other & (common * 100 >= (n + n[r] - common) * percent)):
+                if comp[k] != comp[r]:
+                    yield int(node[r]), int(node[k])
+                    comp[comp == comp[k]] = comp[r]
+
+    def batch(found: list[tuple[int, int]]) -> pa.RecordBatch:
+        return pa.RecordBatch.from_arrays(
+            [pa.array([f[k] for f in found], pa.int64()) for k in (0, 1)], names=["a", "b"]
+        )
 
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held = None
-        for batch in batches:
-            rows = pa.Table.from_batches([batch])
+        for arrived in batches:
+            rows = pa.Table.from_batches([arrived])
             rows = pa.concat_tables([held, rows]).combine_chunks() if held is not None else rows
             keys = np.stack([rows.column(c).to_numpy() for c in ("bucket", "low", "high")])
-            cuts = np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1
             begin = 0
-            for cut in cuts:
-                yield from pairs(rows.slice(begin, cut - begin))
+            for cut in np.flatnonzero((keys[:, 1:] != keys[:, :-1]).any(axis=0)) + 1:
+                yield batch(list(links(rows.slice(begin, cut - begin))))
                 begin = cut
             held = rows.slice(begin)
         if held is not None and held.num_rows:
-            yield from pairs(held)
+            yield batch(list(links(held)))
 
     return run
 
 
+def _full_sets(wanted: DataFrame, docs: DataFrame, nodes: DataFrame, size: int) -> DataFrame:
+    """(node, shingles) of the ``wanted`` classes (node), from the text of one document each."""
+    texts = nodes.join(wanted, "node", "left_semi").select("node", "rep.doc_id", "rep.text_key")
+    same = docs["doc_id"].eqNullSafe(texts["doc_id"]) & (docs["text_key"] == texts["text_key"])
+    # Rows that repeat both id and text give one class several times.
+    return settle(
+        docs.join(texts, same).select("node", "text")
+        .mapInArrow(_sets(size), "node long, shingles array<long>").dropDuplicates(["node"])
+    )
+
+
 def _confirmed(pairs: DataFrame, docs: DataFrame, nodes: DataFrame, size: int, percent: int) -> DataFrame:
     """Those of ``pairs`` (a, b) whose full sets reach the threshold."""
     wanted = pairs.select(F.explode(F.array("a", "b")).alias("node")).distinct()
-    texts = nodes.join(wanted, "node", "left_semi").select("node", "rep.doc_id", "rep.text_key")
-    sets = settle(
-        docs.join(texts, docs["doc_id"].eqNullSafe(texts["doc_id"]) & (docs["text_key"] == texts["text_key"]))
-        .select("node", "text").mapInArrow(_sets(size), "node long, shingles array<long>")
-    )
+    sets = _full_sets(wanted, docs, nodes, size)
     common = F.size(F.array_intersect("left", "right"))
     return (
         pairs
         .join(sets.select(F.col("node").alias("a"), F.col("shingles").alias("left")), "a")
         .join(sets.select(F.col("node").alias("b"), F.col("shingles").alias("right")), "b")
         .filter(common * 100 >= (F.size("left") + F.size("right") - common) * percent)
-        .select("a", "b").distinct()
+        .select("a", "b")
     )
 
 
@@ -282,16 +304,18 @@ def near_duplicates(
     ).filter("least < most").select("bucket")
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     own = F.pmod(F.xxhash64("node"), blocks).cast("int")
-    met = (
+    met = settle(
         rows.join(open_, "bucket").withColumn("own", own)
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
         .select("bucket", F.least("own", "other").alias("low"), F.greatest("own", "other").alias("high"),
                 "own", "node", "component")
-        .join(light, "node")
+    )
+    sets = _full_sets(met.select("node").distinct(), keyed, nodes, shingle)
+    links = settle(
+        met.join(sets, "node").withColumn("n", F.size("shingles").cast("long"))
         .repartition("bucket", "low", "high").sortWithinPartitions("bucket", "low", "high")
+        .mapInArrow(_linked(percent), "a long, b long").distinct()
     )
-    rest = settle(met.mapInArrow(_compare(percent), "a long, b long").distinct())
-    links = _confirmed(rest, keyed, nodes, shingle, percent)
     named = first.select("node", "component")
     for end in "ab":  # from here on between components
         links = links.join(named.toDF(end, f"of_{end}"), end, "left") \
