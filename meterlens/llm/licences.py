@@ -10,8 +10,8 @@ Every window of the template's length that can reach it is compared too, so noti
 follow each other are told apart.
 
 Defined cases: null, empty and short texts match nothing; repeated rows are matched alike;
-several notices are all found; of templates that claim the same words the better one wins,
-then the one named first; an empty table gives an empty table; other columns are not
+several notices are all found; of templates that claim the same words the one that shares
+more bigrams wins, then the one of better Dice, then the one named first; an empty table gives an empty table; other columns are not
 looked at.
 """
 
@@ -177,14 +177,14 @@ class Matcher:
                     found += self._passages(k, words, run)
         best: list[tuple[str, float, int, int]] = []
         taken: list[tuple[int, int]] = []
-        for score, k, a, b in sorted(found, key=lambda f: (-f[0], f[1], f[2])):
+        for _, score, k, a, b in sorted(found, key=lambda f: (-f[0], -f[1], *f[2:])):
             if all(b < x or y < a for x, y in taken):
                 taken.append((a, b))
                 best.append((self.bags[k][0], score, spans[a][0], spans[b][1]))
         return sorted(best, key=lambda m: m[2])
 
     def _passages(self, k: int, words: list[str], run: list[int]):
-        """(dice, template, first word, last word) of passages in a run of hits."""
+        """(shared bigrams, dice, template, first word, last word) of passages in a run of hits."""
         bag, size = self.bags[k][1], self.sizes[k]
         low = size * self.threshold / (2 - self.threshold)
         ends = {(run[0], run[-1])} if run[-1] - run[0] + 1 <= size * size / low else set()
@@ -194,9 +194,10 @@ class Matcher:
                 ends.add((at, run[last]))
         out = []
         for first, last in sorted(ends):
-            score = dice(Counter(bigrams(words[first:last + 2])), bag)
+            own = Counter(bigrams(words[first:last + 2]))
+            score = dice(own, bag)
             if score >= self.threshold:
-                out.append((score, k, first, last + 1))
+                out.append(((own & bag).total(), score, k, first, last + 1))
         return out
 
 
