@@ -210,7 +210,8 @@ def surrogate(key: bytes, kind: str, value: str, attempt: int = 0) -> str:
         names = GIVEN[script, gender[0]] if what == "given" else FAMILY[script]
         drawn = [names[draw(len(names))] for _ in range(1 + attempt // 4)]
         return "-".join(dict.fromkeys(drawn)) + ("" if attempt < 24 else f"-{names[0]}{'a' * (attempt - 23)}")
-    return _alike(value + "0" * wider, draw)
+    lead = 4 if value.startswith("AKIA") else 0  # the mark of an access key stays
+    return value[:lead] + _alike(value[lead:] + "0" * wider, draw)
 
 
 def in_form_of(shown: str, kind: str, new: str) -> str:
