@@ -11,17 +11,20 @@ from meterlens.session import settle
 def components(edges: DataFrame) -> DataFrame:
     """(node, component) of all nodes in ``edges`` (a, b); a component is named by one of its nodes.
 
-    Each round hangs every node below its smallest neighbour, if that is smaller than
-    itself, and contracts the edges to the nodes hung under; the graph shrinks until no
-    edge is left. Every round is written to the shared folder, so a lost executor costs
-    that round at most.
+    Each round puts the nodes in a new random order, hangs every node below its first
+    neighbour, if that comes before itself, and contracts the edges to the nodes hung
+    under; chains and stars alike shrink by a share each round, until no edge is left.
+    Every round is written to the shared folder, so a lost executor costs that round at
+    most.
     """
     live = settle(_ordered(edges.select("a", "b")))
-    labels = None
+    labels, turn = None, 0
     while not live.isEmpty():
+        turn += 1
         both = live.unionByName(live.select(F.col("b").alias("a"), F.col("a").alias("b")))
-        parents = settle(both.groupBy("a").agg(F.min("b").alias("least")).select(
-            F.col("a").alias("child"), F.least("a", "least").alias("parent")
+        first, own = (F.struct(F.xxhash64(c, F.lit(turn)).alias("place"), F.col(c).alias("node")) for c in "ba")
+        parents = settle(both.groupBy("a").agg(F.min(first).alias("first")).select(
+            F.col("a").alias("child"), F.least(own, "first")["node"].alias("parent")
         ))
         if labels is None:
             labels = parents.select(F.col("child").alias("node"), F.col("parent").alias("component"))

@@ -269,7 +269,8 @@ def near_duplicates(
         f"doc_id {kind}, text_key string, n long, node long, buckets array<long>, marks binary",
     ))
     nodes = settle(signed.filter("node is not null").groupBy("node").agg(
-        F.min(F.struct("doc_id", "text_key")).alias("rep"), F.first("n").alias("n"),
+        F.min(F.struct(F.col("doc_id").isNull().alias("unknown"), "doc_id", "text_key")).alias("rep"),
+        F.first("n").alias("n"),
         F.first("buckets").alias("buckets"), F.first("marks").alias("marks"),
     ))
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
@@ -334,8 +335,8 @@ def near_duplicates(
         found.select("node", "component").join(named, "component").select("node", "component_id"),
         "node", "left",
     ).select("node", F.coalesce("component_id", "rep").alias("component_id"))
-    component = F.coalesce("component_id", "doc_id")
+    component = F.when(F.col("node").isNull(), F.col("doc_id")).otherwise(F.col("component_id"))
     return signed.select("doc_id", "n", "node").join(classes, "node", "left").select(
         "doc_id", F.col("n").alias("n_shingles"), component.alias("component_id"),
-        F.coalesce(F.col("doc_id") == component, F.lit(True)).alias("kept"),
+        F.col("doc_id").eqNullSafe(component).alias("kept"),
     )
