@@ -11,6 +11,7 @@ from meterlens.llm import (
     decontamination, licences, neardup, packing, pii, quality, sharding, tokenfile, toxicity,
     vectors,
 )
+from meterlens.llm.check_sql import DEDUP_SQL, LEAK_SQL, SEARCH_SQL, SHARD_SQL
 from meterlens.llm.common import table
 
 # The key of a real run comes from spark.meterlens.pii.key.
@@ -66,30 +67,15 @@ def good(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
-SEARCH_SQL = """
-with q as (
-    select vec_id, row_number() over () as r,
-           list_transform(embedding, lambda x: floor(256 * x::double)::bigint) as v
-    from embeddings where len(list_filter(embedding, lambda x: x is null or not isfinite(x))) = 0
-), scored as (
-    select a.vec_id as query_id, a.r, b.vec_id,
-           list_sum(list_transform(list_zip(a.v, b.v), lambda p: p[1] * p[2]))::bigint as score
-    from q a join q b on a.r <> b.r and len(a.v) = len(b.v) where a.vec_id % 50 = 0
-)
-select query_id, cast(n as integer) as rank, vec_id, score from (
-    select *, row_number() over (partition by r order by score desc, vec_id) as n from scored
-) where n <= 5"""
-
-
 QUERIES = {
     "op1_packing": Query(pack),
-    "op2_sharding": Query(shard),
+    "op2_sharding": Query(shard, SHARD_SQL),
     "op3_pii": Query(private),
     "op4_toxicity": Query(toxic),
     "op5_vector_search": Query(search, SEARCH_SQL),
     "op6_token_file": Query(token_file),
-    "op7_decontamination": Query(decontaminate),
-    "op8_minhash": Query(dedup),
+    "op7_decontamination": Query(decontaminate, LEAK_SQL),
+    "op8_minhash": Query(dedup, DEDUP_SQL),
     "op9_quality": Query(good),
     "op10_licences": Query(licensed),
 }
