@@ -5,5 +5,6 @@ from meterlens.catalog.evaluation import EVALUATION
 from meterlens.catalog.learning import LEARNING
 from meterlens.catalog.planning import PLANNING
 from meterlens.catalog.readings import READINGS
+from meterlens.catalog.roundtrips import ROUNDTRIPS
 
-QUERIES = {**READINGS, **EVALUATION, **ANOMALY, **PLANNING, **LEARNING}
+QUERIES = {**READINGS, **EVALUATION, **ANOMALY, **PLANNING, **LEARNING, **ROUNDTRIPS}

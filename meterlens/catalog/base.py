@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import re
 from collections.abc import Callable
 from dataclasses import dataclass
 
@@ -10,7 +9,6 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType
 
-from meterlens.functions.scalars import out
 from meterlens.operators.filters import select_readings
 from meterlens.operators.joins import join_buildings, join_weather
 from meterlens.operators.fills import fill_weather
@@ -26,17 +24,14 @@ class Query:
     sql: str | None = None
 
 
-# Means of cents over 16 or 32 rows end exactly between two rounded values,
-# where the last bit of a sum decides. Both sides add this before rounding to
-# 6 places, which moves every such tie to the same side.
-TIE_SHIFT = 3e-8
+def rounded(df: DataFrame, places: int = 6, fine: str = "-") -> DataFrame:
+    """All double columns rounded for comparison, half away from zero.
 
-
-def rounded(df: DataFrame, places: int = 6) -> DataFrame:
-    """All double columns rounded for comparison."""
-    shift = TIE_SHIFT if places == 6 else 0.0
+    Columns that begin with ``fine`` keep 8 places: a mean of cents over 16 or 32
+    rows ends there, where 6 places would leave ties that its last bit decides.
+    """
     return df.select(*[
-        out(F.col(f.name) + shift, places).alias(f.name)
+        (F.round(f.name, 8 if f.name.startswith(fine) else places) + F.lit(0.0)).alias(f.name)
         if isinstance(f.dataType, DoubleType)
         else f.name
         for f in df.schema.fields
@@ -182,7 +177,7 @@ def sql(text: str, *views: str) -> str:
     for view in views:
         visit(view)
     head = ", ".join(f"{v} as ({VIEWS[v][1].strip()})" for v in ordered)
-    body = re.sub(r", 6\)(?! over)", f" + {TIE_SHIFT}::double, 6)", text.strip())
+    body = text.strip()
     if not head:
         return body
     return f"with {head}, {body[5:]}" if body.startswith("with ") else f"with {head} {body}"

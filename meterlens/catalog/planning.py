@@ -221,8 +221,8 @@ PLANNING = {
     ),
     "peak_shaving_summary_by_building": Query(
         lambda s, d: rounded(load.peak_shaving_summary(
-            load.peak_shaving(_profile(s, d, B), B), B)),
-        sql(_round_sql(_shaving_summary("profile_b", "building_id"), "building_id, ", SUMMARY),
+            load.peak_shaving(_profile(s, d, B), B), B), 8),
+        sql(_round_sql(_shaving_summary("profile_b", "building_id"), "building_id, ", SUMMARY, 8),
             "profile_b"),
     ),
     "solar_netload": Query(
@@ -269,10 +269,10 @@ PLANNING = {
                        ["load", "optimized_load", "total_shifted_kwh"]), "profile"),
     ),
     "strategy_a_by_building": Query(
-        lambda s, d: rounded(load.solar_timeshift(_profile(s, d, B), B)),
+        lambda s, d: rounded(load.solar_timeshift(_profile(s, d, B), B), 8),
         sql(_round_sql(TIMESHIFT_SQL.format(
             k="building_id, ", part="partition by building_id", view="profile_b"),
-            "building_id, hour, ", ["load", "optimized_load", "total_shifted_kwh"]), "profile_b"),
+            "building_id, hour, ", ["load", "optimized_load", "total_shifted_kwh"], 8), "profile_b"),
     ),
     "strategy_b": Query(
         lambda s, d: rounded(load.building_balance(building_means(selected(s, d)))),

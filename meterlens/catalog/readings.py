@@ -44,7 +44,7 @@ def _fixed(month: int, day: int) -> str:
 
 
 HOLIDAY_SQL = f"""cast(case when
-    {_fixed(1, 1)} or {_fixed(6, 19)} or {_fixed(7, 4)} or {_fixed(11, 11)} or {_fixed(12, 25)}
+    {_fixed(1, 1)} or (year(d) >= 2021 and ({_fixed(6, 19)})) or {_fixed(7, 4)} or {_fixed(11, 11)} or {_fixed(12, 25)}
     or (month(d) = 12 and day(d) = 31 and isodow(d) = 5)
     or (isodow(d) = 1 and ((month(d) = 1 and day(d) between 15 and 21)
       or (month(d) = 2 and day(d) between 15 and 21) or (month(d) = 5 and day(d) >= 25)
@@ -67,9 +67,9 @@ def _rolling_sql(sizes) -> str:
             f"(partition by building_id order by timestamp rows between {n - 1} preceding"
             " and current row)"
         )
-        items.append(f"round(avg(meter_reading) over {frame}, 6) as rolling_mean_{n}h")
+        items.append(f"round(avg(meter_reading) over {frame}, 8) as rolling_mean_{n}h")
         items.append(
-            f"coalesce(round(stddev_samp(meter_reading) over {frame}, 6), 0) as rolling_std_{n}h"
+            f"coalesce(round(stddev_samp(meter_reading) over {frame}, 8), 0) as rolling_std_{n}h"
         )
     return ", ".join(items)
 
@@ -234,12 +234,12 @@ READINGS = {
         sql(f"select building_id, timestamp, meter_reading, {_lag_sql(LAGS)} from sel", "sel"),
     ),
     "rolling_features": Query(
-        lambda s, d: rounded(add_history_features(selected(s, d), lags=[])),
+        lambda s, d: rounded(add_history_features(selected(s, d), lags=[]), 8),
         sql(f"select building_id, timestamp, meter_reading, {_rolling_sql(ROLLING)} from sel",
             "sel"),
     ),
     "feature_matrix": Query(
-        lambda s, d: rounded(_matrix(s, d)),
+        lambda s, d: rounded(_matrix(s, d), fine="rolling_"),
         sql(f"""select m.building_id, m.timestamp, m.meter_reading, l.site_id,
           m.* exclude (building_id, timestamp, meter_reading),
           round(l.square_feet, 6) as square_feet, l.year_built, l.floor_count, """
@@ -321,9 +321,9 @@ READINGS = {
             limit 1) group by timestamp""", "sel", "means"),
     ),
     "heatmap": Query(
-        lambda s, d: rounded(profiles.weekday_hour_heatmap(selected(s, d))),
+        lambda s, d: rounded(profiles.weekday_hour_heatmap(selected(s, d)), 8),
         sql("select cast(isodow(timestamp) - 1 as integer) as day_of_week, " + ", ".join(
-            f"round(avg(meter_reading) filter (where hour(timestamp) = {h}), 6) as h{h:02d}"
+            f"round(avg(meter_reading) filter (where hour(timestamp) = {h}), 8) as h{h:02d}"
             for h in range(24)) + " from sel group by 1", "sel"),
     ),
     "monthly_mean": Query(
@@ -389,7 +389,7 @@ READINGS = {
     ),
     "rolling_features_split": Query(
         lambda s, d: rounded(add_history_features(
-            selected(s, d), lags=[], split_above=40, small_bytes=0)),
+            selected(s, d), lags=[], split_above=40, small_bytes=0), 8),
         sql(f"select building_id, timestamp, meter_reading, {_rolling_sql(ROLLING)} from sel",
             "sel"),
     ),

@@ -16,11 +16,8 @@ def total(columns: list[Column]) -> Column:
 
 
 def out(value: Column, places: int = 6) -> Column:
-    """Rounded output value without negative zero.
-
-    Plain arithmetic: ``round`` on doubles goes through decimals per value.
-    """
-    return F.rint(value * float(10**places)) / float(10**places) + F.lit(0.0)
+    """Rounded output value, half away from zero, without negative zero."""
+    return F.round(value, places) + F.lit(0.0)
 
 
 def is_finite(name) -> Column:

@@ -104,6 +104,16 @@ def load_audit(readings: DataFrame, target: str = TARGET) -> DataFrame:
     )
 
 
+def site_audit(readings: DataFrame, buildings: DataFrame) -> DataFrame:
+    """Distinct sites and buildings that have readings, and readings without a building."""
+    sites = buildings.select("building_id", "site_id")
+    sized = readings.groupBy("building_id").agg(F.count("*").alias("n"))
+    return sized.join(sites, "building_id", "left").agg(
+        F.count_distinct("site_id").alias("n_sites"), F.count("*").alias("n_buildings"),
+        F.coalesce(F.sum(F.when(F.col("site_id").isNull(), F.col("n"))), F.lit(0)).alias("n_unplaced"),
+    )
+
+
 def split_audit(split: DataFrame) -> DataFrame:
     """Rows and time range of the training and validation parts."""
     return split.groupBy("is_val").agg(

@@ -131,9 +131,9 @@ def error_threshold(df: DataFrame, column: str, by: list[str] = ()) -> DataFrame
     )
 
 
-def first_predictions(predictions: DataFrame, n: int = 500) -> DataFrame:
-    """First ``n`` validation predictions of every model in time order."""
-    return first_rows(predictions, ["model"], ["timestamp", "building_id"], n)
+def first_predictions(predictions: DataFrame, n: int | None = 500) -> DataFrame:
+    """First ``n`` (None: all) validation predictions of every model in time order."""
+    return predictions if n is None else first_rows(predictions, ["model"], ["timestamp", "building_id"], n)
 
 
 def scaler(df: DataFrame, columns: list[str]) -> DataFrame:

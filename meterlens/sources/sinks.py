@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from meterlens.operators.filters import first_rows
 from meterlens.sources.schemas import METRIC_FILE
 
 METRICS = ["R2", "RMSE", "MAE", "MAPE"]
@@ -79,3 +80,18 @@ def write_scenarios(results: dict[str, DataFrame], folder: str) -> None:
     """Every scenario table as JSON under its own name."""
     for name, table in results.items():
         table.write.mode("overwrite").json(f"{folder.rstrip('/')}/{name}")
+
+
+def write_predictions(predictions: DataFrame, folder: str, n: int | None = None) -> None:
+    """Validation predictions as JSON, one folder per model; ``n`` keeps the first of each in time."""
+    kept = predictions if n is None else first_rows(
+        predictions, ["model"], ["timestamp", "building_id"], n
+    )
+    kept.write.mode("overwrite").option("partitionOverwriteMode", "dynamic") \
+        .partitionBy("model").json(folder)
+
+
+def write_importance(importance: DataFrame, folder: str) -> None:
+    """(feature, importance) as JSON, most important first."""
+    importance.orderBy(F.col("importance").desc(), "feature").coalesce(1) \
+        .write.mode("overwrite").json(folder)
