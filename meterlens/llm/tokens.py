@@ -17,9 +17,9 @@ import re
 import numpy as np
 
 PIECE_BYTES = 48
-# Pieces, and words in them, that a worker remembers before it starts anew: 300 MB at most.
-CACHE_PIECES = 800_000
-CACHE_WORDS = 1_000_000
+# Pieces, and words in them, that a worker remembers before it starts anew: 200 MB at most.
+CACHE_PIECES = 500_000
+CACHE_WORDS = 600_000
 PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
 WORD = re.compile(rb"[a-z]+")
 
