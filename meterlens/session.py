@@ -47,16 +47,14 @@ def bounded_broadcast(
 ) -> DataFrame:
     """Mark ``df`` for broadcast only when its size has been checked.
 
-    Small inputs pass on the file-size estimate. Otherwise the rows are counted
-    (at most ``max_rows + 1`` of them); a larger table is returned unmarked, so
-    the join stays a shuffle join that AQE may split on skewed keys.
+    Small inputs pass on the file-size estimate. Otherwise the side is written
+    to the shared folder and its own rows are counted; a larger table is returned
+    unmarked, so the join stays a shuffle join that AQE may split on skewed keys.
     """
     if is_small(df, small_bytes):
         return F.broadcast(df)
-    kept = df.persist()
-    if kept.limit(max_rows + 1).count() <= max_rows:
-        return F.broadcast(kept)
-    return kept
+    kept = settle(df)
+    return F.broadcast(kept) if kept.count() <= max_rows else kept
 
 
 def shared_folder(spark: SparkSession) -> str:
