@@ -3,16 +3,17 @@
 Texts and templates are normalised alike: ASCII letters in lower case, everything but
 letters, digits and non-ASCII characters a separator, and words that vary from copy to copy
 (years, "c") dropped. A template is the bag of its word bigrams, between marks for its
-begin and end. In a document only bigrams of templates matter; where those of one template
-stand close together a passage begins, and passages whose number of bigrams leaves no room
-for the threshold (Dice d needs d/(2-d) to (2-d)/d times the template's) are never compared.
-Every window of the template's length that can reach it is compared too, so notices that
-follow each other are told apart.
+begin and end. In a document only bigrams of templates matter. From each of them every
+passage is compared that ends at another one of the same template, is no longer than a
+Dice coefficient d allows ((2-d)/d times the template's bigrams) and can hold enough of them
+(d/(2-d) times), whatever stands between. Of the passages of one template those of best Dice
+are taken first, so notices that follow each other are told apart (of changed copies without
+a word between, the end of one and the begin of the next may be the better passage).
 
 Defined cases: null, empty and short texts match nothing; repeated rows are matched alike;
 several notices are all found; of templates that claim the same words the one that shares
-more bigrams wins, then the one of better Dice, then the one named first; an empty table gives an empty table; other columns are not
-looked at.
+more bigrams wins, then the one of better Dice, then the one named first; an empty table
+gives an empty table; other columns are not looked at.
 """
 
 from __future__ import annotations
@@ -21,14 +22,16 @@ import re
 from bisect import bisect_left
 from collections import Counter
 from collections.abc import Iterable, Iterator
+from heapq import heapify, heappop, heappush
+from math import ceil, floor
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 THRESHOLD = 0.8
-# Words without a bigram of the template that a passage may go on over.
-GAP = 6
+# Words without a bigram of the template that a passage may go on over; None: any number.
+GAP = None
 WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 VARYING = re.compile("(?:19|20)[0-9]{2}|c")
 
@@ -139,11 +142,17 @@ def dice(a: Counter, b: Counter) -> float:
 
 
 class Matcher:
-    def __init__(self, templates: dict[str, list[str]], threshold: float, gap: int):
+    def __init__(
+        self, templates: dict[str, list[str]], threshold: float = THRESHOLD, gap: int | None = GAP
+    ):
         self.threshold, self.gap = threshold, gap
         self.bags = [(name, Counter(bigrams(normalised(t)[0])))
                      for name, texts in templates.items() for t in texts]
         self.sizes = [bag.total() for _, bag in self.bags]
+        # Bigrams that a passage must share, and may have.
+        low = threshold / (2 - threshold)
+        self.least = [max(1, ceil(size * low - 1e-9)) for size in self.sizes]
+        self.most = [floor(size / low + 1e-9) for size in self.sizes]
         self.owners: dict[tuple[str, str], list[int]] = {}
         for k, (_, bag) in enumerate(self.bags):
             for pair in bag:
@@ -161,47 +170,65 @@ class Matcher:
             if word in firsts:
                 for k in owners.get((word, words[at + 1]), ()):
                     hits.setdefault(k, []).append(at)
-        found = []
+        open_: dict[int, list[tuple]] = {}
         for k, places in hits.items():
-            size, low = self.sizes[k], self.threshold / (2 - self.threshold)
-            if len(places) < low * size:
-                continue
-            begin = 0
-            for end in range(1, len(places) + 1):
-                if end < len(places) and places[end] - places[end - 1] <= self.gap:
-                    continue
-                run = places[begin:end]
-                begin = end
-                # As many hits as the threshold needs, at least.
-                if len(run) >= low * size:
-                    found += self._passages(k, words, run)
+            if len(places) >= self.least[k]:
+                own = (self._best(k, words, places, n, len(words)) for n in range(len(places)))
+                open_[k] = [p for p in own if p]
+                heapify(open_[k])
         best: list[tuple[str, float, int, int]] = []
-        taken: list[tuple[int, int]] = []
-        for _, score, k, a, b in sorted(found, key=lambda f: (-f[0], -f[1], *f[2:])):
-            if all(b < x or y < a for x, y in taken):
-                taken.append((a, b))
-                best.append((self.bags[k][0], score, spans[a][0], spans[b][1]))
-        return sorted(best, key=lambda m: m[2])
-
-    def _passages(self, k: int, words: list[str], run: list[int]):
-        """(shared bigrams, dice, template, first word, last word) of passages in a run of hits."""
-        bag, size = self.bags[k][1], self.sizes[k]
-        low = size * self.threshold / (2 - self.threshold)
-        ends = {(run[0], run[-1])} if run[-1] - run[0] + 1 <= size * size / low else set()
-        for n, at in enumerate(run):
-            last = bisect_left(run, at + size) - 1  # hits within the template's length
-            if last - n + 1 >= low:
-                ends.add((at, run[last]))
-        out = []
-        for first, last in sorted(ends):
-            own = Counter(bigrams(words[first:last + 2]))
-            score = dice(own, bag)
-            if score >= self.threshold:
-                out.append(((own & bag).total(), score, k, first, last + 1))
-        return out
-
-
-def _scan(templates: dict[str, list[str]], threshold: float, gap: int):
+        taken: list[tuple[int, int]] = []  # first and last words, in order
+        while True:
+            for k, heap in open_.items():
+                self._clear(k, words, hits[k], heap, taken)
+            tops = [(heap[0][1], heap[0][0], k, heap[0]) for k, heap in open_.items() if heap]
+            if not tops:
+                return sorted(best, key=lambda m: m[2])
+            _, score, k, (_, _, a, b, _) = min(tops)
+            taken.insert(bisect_left(taken, (a, b)), (a, b))
+            best.append((self.bags[k][0], -score, spans[a][0], spans[b][1]))
+
+    def _clear(self, k: int, words: list[str], places: list[int], heap: list[tuple], taken: list):
+        """Brings a passage without taken words to the top, if there is one."""
+        while heap:
+            _, _, a, b, n = heap[0]
+            at = bisect_left(taken, (a + 1,))  # the first that begins behind a
+            if at and taken[at - 1][1] >= a:
+                heappop(heap)
+            elif at < len(taken) and taken[at][0] <= b:
+                heappop(heap)
+                shorter = self._best(k, words, places, n, taken[at][0])
+                if shorter:
+                    heappush(heap, shorter)
+            else:
+                return
+
+    def _best(self, k: int, words: list[str], places: list[int], n: int, stop: int) -> tuple | None:
+        """(-dice, -shared, first word, last word, n) of the best passage from hit n to before a word."""
+        first, most, far = places[n], self.most[k], n + self.least[k] - 1
+        if far >= len(places) or places[far] - first >= most:
+            return None
+        bag, size, limit = self.bags[k][1], self.sizes[k], min(first + most, stop - 1)
+        seen: dict[tuple[str, str], int] = {}
+        shared, prior, best, found = 0, first, self.threshold, None
+        for m in range(n, len(places)):
+            at = places[m]
+            if at >= limit or self.gap is not None and at - prior > self.gap:
+                break
+            prior = at
+            pair = words[at], words[at + 1]
+            count = seen.get(pair, 0)
+            if count == bag[pair]:
+                continue
+            seen[pair] = count + 1
+            shared += 1
+            score = 2 * shared / (at - first + 1 + size)
+            if score >= best:
+                best, found = score, (-score, -shared, first, at + 1, n)
+        return found
+
+
+def _scan(templates: dict[str, list[str]], threshold: float, gap: int | None):
     def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(templates, threshold, gap)
         kind = pa.list_(pa.struct([
@@ -225,7 +252,7 @@ def scan(
     text_column: str = "text",
     templates: dict[str, list[str]] | None = None,
     threshold: float = THRESHOLD,
-    gap: int = GAP,
+    gap: int | None = GAP,
 ) -> DataFrame:
     """(doc_id, matches) of every document row; a match has licence, dice, start and end."""
     texts = docs.select(F.col(id_column).alias("doc_id"), F.col(text_column).alias("text"))

@@ -1,3 +1,5 @@
+import random
+
 from meterlens.llm import licences as L
 from tests.llm.conftest import EDGE, make
 
@@ -39,3 +41,49 @@ def test_rows(spark, edge, nothing):
     (row,) = L.digest(L.scan(docs)).collect()
     assert (row.n_matches, row.licences, row.best) == (3, "MIT,all-rights-reserved", 1.0)
     assert L.digest(L.scan(nothing)).collect() == []
+
+
+def test_words_in_the_middle_do_not_cut_a_notice():
+    words = L.TEMPLATES["MIT"][2].split()
+    for n in (7, 11, 60):
+        text = " ".join(words[:80] + ["holder"] * n + words[80:])
+        assert [m[0] for m in MATCHER.matches(text)] == ["MIT"], n
+        apart = " and more words ".join([text, *["holder " * 90] * 2, text])
+        assert [m[0] for m in MATCHER.matches(apart)] == ["MIT"] * 2, n
+
+
+def all_passages(words, bag, threshold):
+    """The best passages without overlap, from all passages of a text."""
+    found = []
+    for a in range(len(words)):
+        for b in range(a + 1, len(words)):
+            own = L.Counter(L.bigrams(words[a:b + 1]))
+            score = L.dice(own, bag)
+            if score >= threshold:
+                found.append((-score, -(own & bag).total(), a, b))
+    kept = []
+    for passage in sorted(found):
+        if all(passage[3] < a or b < passage[2] for _, _, a, b in kept):
+            kept.append(passage)
+    return sorted((a, b, -score) for score, _, a, b in kept)
+
+
+def test_matches_are_those_of_all_passages():
+    rng = random.Random(10)
+    notice = "a copy of the text of the notice may be given to all of the users of the text".split()
+    matcher = L.Matcher({"own": [" ".join(notice)]})
+    bag, several = matcher.bags[0][1], 0
+    for _ in range(150):
+        words = []
+        for _ in range(rng.randint(1, 3)):
+            copy = list(notice)
+            for _ in range(rng.randint(0, 3)):
+                at = rng.randrange(len(copy))
+                copy[at:at + rng.randint(0, 2)] = ["x"] * rng.randint(0, 8)
+            words += copy + rng.choices(["of", "the", "text", "x"], k=rng.randint(0, 9))
+        text = " ".join(words)
+        _, spans = L.normalised(text)
+        want = [("own", score, spans[a][0], spans[b][1]) for a, b, score in all_passages(words, bag, 0.8)]
+        assert matcher.matches(text) == want
+        several += len(want) > 1
+    assert several > 20
