@@ -35,7 +35,73 @@ GAP = None
 WORD = re.compile("[0-9a-z\x80-\U0010ffff]+")
 VARYING = re.compile("(?:19|20)[0-9]{2}|c")
 
-# Short notices and permission texts of common public licences.
+# Notices and short texts of common public licences. Licences that look alike
+# need a template each: the one that shares more of a text names it.
+_BSD = """Redistribution and use in source and binary forms, with or without modification, are permitted
+    provided that the following conditions are met: 1. Redistributions of source code must retain the
+    above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions
+    in binary form must reproduce the above copyright notice, this list of conditions and the
+    following disclaimer in the documentation and/or other materials provided with the distribution."""
+_BSD_ADVERTISING = """All advertising materials mentioning features or use of this software must display
+    the following acknowledgement: This product includes software developed by the organization."""
+_BSD_NAMES = """Neither the name of the copyright holder nor the names of its contributors may be used to
+    endorse or promote products derived from this software without specific prior written permission."""
+_BSD_END = """THIS SOFTWARE IS PROVIDED BY THE COPYRIGHT HOLDERS AND CONTRIBUTORS "AS IS" AND ANY EXPRESS
+    OR IMPLIED WARRANTIES, INCLUDING, BUT NOT LIMITED TO, THE IMPLIED WARRANTIES OF MERCHANTABILITY AND
+    FITNESS FOR A PARTICULAR PURPOSE ARE DISCLAIMED. IN NO EVENT SHALL THE COPYRIGHT HOLDER OR
+    CONTRIBUTORS BE LIABLE FOR ANY DIRECT, INDIRECT, INCIDENTAL, SPECIAL, EXEMPLARY, OR CONSEQUENTIAL
+    DAMAGES (INCLUDING, BUT NOT LIMITED TO, PROCUREMENT OF SUBSTITUTE GOODS OR SERVICES; LOSS OF USE,
+    DATA, OR PROFITS; OR BUSINESS INTERRUPTION) HOWEVER CAUSED AND ON ANY THEORY OF LIABILITY, WHETHER
+    IN CONTRACT, STRICT LIABILITY, OR TORT (INCLUDING NEGLIGENCE OR OTHERWISE) ARISING IN ANY WAY OUT OF
+    THE USE OF THIS SOFTWARE, EVEN IF ADVISED OF THE POSSIBILITY OF SUCH DAMAGE."""
+_ISC = """Permission to use, copy, modify, and/or distribute this software for any purpose with or without
+    fee is hereby granted"""
+_ISC_NOTICE = """, provided that the above copyright notice and this permission notice appear in all
+    copies."""
+_ISC_END = """THE SOFTWARE IS PROVIDED "AS IS" AND THE AUTHOR DISCLAIMS ALL WARRANTIES WITH REGARD TO THIS
+    SOFTWARE INCLUDING ALL IMPLIED WARRANTIES OF MERCHANTABILITY AND FITNESS. IN NO EVENT SHALL THE
+    AUTHOR BE LIABLE FOR ANY SPECIAL, DIRECT, INDIRECT, OR CONSEQUENTIAL DAMAGES OR ANY DAMAGES
+    WHATSOEVER RESULTING FROM LOSS OF USE, DATA OR PROFITS, WHETHER IN AN ACTION OF CONTRACT, NEGLIGENCE
+    OR OTHER TORTIOUS ACTION, ARISING OUT OF OR IN CONNECTION WITH THE USE OR PERFORMANCE OF THIS
+    SOFTWARE."""
+_MIT = """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
+    and associated documentation files (the "Software"), to deal in the Software without restriction,
+    including without limitation the rights to use, copy, modify, merge, publish, distribute,
+    sublicense, and/or sell copies of the Software, and to permit persons to whom the Software is
+    furnished to do so"""
+_MIT_END = """THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING
+    BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE AND
+    NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM, DAMAGES
+    OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN
+    CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE."""
+
+
+def _gnu(name: str, version: str) -> list[str]:
+    """Notices of a licence of the GNU family."""
+    return [f"This work is licensed under the GNU {name} License, version {version}."] + [
+        f"""This {what} is free software; you can redistribute it and/or modify it under the terms of the
+        GNU {name} License as published by the Free Software Foundation; either version {version} of the
+        License, or (at your option) any later version."""
+        for what in ("program", "library", "software")
+    ]
+
+
+def _creative_commons() -> dict[str, list[str]]:
+    """Notices of the six licences in each of their versions."""
+    out = {}
+    for version, where in (("4.0", "International"), ("3.0", "Unported"), ("2.5", "Generic"),
+                           ("2.0", "Generic"), ("1.0", "Generic")):
+        bare = "NoDerivatives" if version == "4.0" else "NoDerivs"
+        for marks in ("BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"):
+            words = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial", "ND": bare}
+            full = "-".join(words[m] for m in marks.split("-"))
+            out[f"CC-{marks}-{version}"] = [
+                f"Licensed under CC {marks} {version}.",
+                f"This work is licensed under a Creative Commons {full} {version} {where} License.",
+            ]
+    return out
+
+
 TEMPLATES = {
     "Apache-2.0": [
         "Licensed under the Apache License, Version 2.0.",
@@ -49,60 +115,64 @@ TEMPLATES = {
     "MIT": [
         "Released under the MIT License.",
         "Licensed under the MIT License.",
-        """Permission is hereby granted, free of charge, to any person obtaining a copy of this software
-        and associated documentation files (the "Software"), to deal in the Software without
-        restriction, including without limitation the rights to use, copy, modify, merge, publish,
-        distribute, sublicense, and/or sell copies of the Software, and to permit persons to whom the
-        Software is furnished to do so, subject to the following conditions: The above copyright notice
-        and this permission notice shall be included in all copies or substantial portions of the
-        Software. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT WARRANTY OF ANY KIND, EXPRESS OR IMPLIED,
-        INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE
-        AND NONINFRINGEMENT. IN NO EVENT SHALL THE AUTHORS OR COPYRIGHT HOLDERS BE LIABLE FOR ANY CLAIM,
-        DAMAGES OR OTHER LIABILITY, WHETHER IN AN ACTION OF CONTRACT, TORT OR OTHERWISE, ARISING FROM,
-        OUT OF OR IN CONNECTION WITH THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
+        f"""{_MIT}, subject to the following conditions: The above copyright notice and this permission
+        notice shall be included in all copies or substantial portions of the Software. {_MIT_END}""",
     ],
-    "ISC": [
-        """Permission to use, copy, modify, and/or distribute this software for any purpose with or without
-        fee is hereby granted, provided that the above copyright notice and this permission notice appear
-        in all copies.""",
+    "MIT-0": [f"{_MIT}. {_MIT_END}"],
+    "ISC": [_ISC + _ISC_NOTICE, f"{_ISC}{_ISC_NOTICE} {_ISC_END}"],
+    "0BSD": [f"{_ISC}. {_ISC_END}"],
+    "BSD-2-Clause": [_BSD, f"{_BSD} {_BSD_END}"],
+    "BSD-3-Clause": [f"{_BSD} 3. {_BSD_NAMES}", f"{_BSD} 3. {_BSD_NAMES} {_BSD_END}"],
+    "BSD-4-Clause": [
+        f"{_BSD} 3. {_BSD_ADVERTISING} 4. {_BSD_NAMES}",
+        f"{_BSD} 3. {_BSD_ADVERTISING} 4. {_BSD_NAMES} {_BSD_END}",
     ],
-    "BSD-2-Clause": [
-        """Redistribution and use in source and binary forms, with or without modification, are permitted
-        provided that the following conditions are met: 1. Redistributions of source code must retain the
-        above copyright notice, this list of conditions and the following disclaimer. 2. Redistributions
-        in binary form must reproduce the above copyright notice, this list of conditions and the
-        following disclaimer in the documentation and/or other materials provided with the
-        distribution.""",
+    "BSL-1.0": [
+        """Distributed under the Boost Software License, Version 1.0. (See accompanying file
+        LICENSE_1_0.txt or copy at http://www.boost.org/LICENSE_1_0.txt)""",
+        """Permission is hereby granted, free of charge, to any person or organization obtaining a copy of
+        the software and accompanying documentation covered by this license (the "Software") to use,
+        reproduce, display, distribute, execute, and transmit the Software, and to prepare derivative
+        works of the Software, and to permit third-parties to whom the Software is furnished to do so,
+        all subject to the following: The copyright notices in the Software and this entire statement,
+        including the above license grant, this restriction and the following disclaimer, must be
+        included in all copies of the Software, in whole or in part, and all derivative works of the
+        Software, unless such copies or derivative works are solely in the form of machine-executable
+        object code generated by a source language processor. THE SOFTWARE IS PROVIDED "AS IS", WITHOUT
+        WARRANTY OF ANY KIND, EXPRESS OR IMPLIED, INCLUDING BUT NOT LIMITED TO THE WARRANTIES OF
+        MERCHANTABILITY, FITNESS FOR A PARTICULAR PURPOSE, TITLE AND NON-INFRINGEMENT. IN NO EVENT SHALL
+        THE COPYRIGHT HOLDERS OR ANYONE DISTRIBUTING THE SOFTWARE BE LIABLE FOR ANY DAMAGES OR OTHER
+        LIABILITY, WHETHER IN CONTRACT, TORT OR OTHERWISE, ARISING FROM, OUT OF OR IN CONNECTION WITH
+        THE SOFTWARE OR THE USE OR OTHER DEALINGS IN THE SOFTWARE.""",
     ],
-    "GPL-2.0": [
-        "This work is licensed under the GNU General Public License, version 2.",
+    "Artistic-2.0": [
+        "Licensed under the Artistic License 2.0.",
         """This program is free software; you can redistribute it and/or modify it under the terms of the
-        GNU General Public License as published by the Free Software Foundation; either version 2 of the
-        License, or (at your option) any later version.""",
+        Artistic License 2.0.""",
+    ],
+    "EPL-1.0": [
+        """This program and the accompanying materials are made available under the terms of the Eclipse
+        Public License v1.0 which accompanies this distribution, and is available at
+        http://www.eclipse.org/legal/epl-v10.html""",
     ],
-    "GPL-3.0": [
-        "This work is licensed under the GNU General Public License, version 3.",
-        """This program is free software: you can redistribute it and/or modify it under the terms of the
-        GNU General Public License as published by the Free Software Foundation, either version 3 of the
-        License, or (at your option) any later version.""",
+    "EPL-2.0": [
+        """This program and the accompanying materials are made available under the terms of the Eclipse
+        Public License 2.0 which is available at https://www.eclipse.org/legal/epl-2.0/""",
+        """This program and the accompanying materials are made available under the terms of the Eclipse
+        Public License v. 2.0 which is available at http://www.eclipse.org/legal/epl-2.0.""",
     ],
+    "GPL-2.0": _gnu("General Public", "2"),
+    "GPL-3.0": _gnu("General Public", "3"),
+    "LGPL-2.0": _gnu("Library General Public", "2"),
+    "LGPL-2.1": _gnu("Lesser General Public", "2.1"),
+    "LGPL-3.0": _gnu("Lesser General Public", "3"),
+    "AGPL-3.0": _gnu("Affero General Public", "3"),
     "MPL-2.0": [
         """This Source Code Form is subject to the terms of the Mozilla Public License, v. 2.0. If a copy of
         the MPL was not distributed with this file, You can obtain one at
         http://mozilla.org/MPL/2.0/.""",
     ],
-    "CC-BY-4.0": [
-        "Licensed under CC BY 4.0.",
-        "This work is licensed under a Creative Commons Attribution 4.0 International License.",
-    ],
-    "CC-BY-SA-4.0": [
-        "Licensed under CC BY-SA 4.0.",
-        "This work is licensed under a Creative Commons Attribution-ShareAlike 4.0 International License.",
-    ],
-    "CC-BY-NC-4.0": [
-        "Licensed under CC BY-NC 4.0.",
-        "This work is licensed under a Creative Commons Attribution-NonCommercial 4.0 International License.",
-    ],
+    **_creative_commons(),
     "CC0-1.0": [
         """To the extent possible under law, the author has dedicated all copyright and related and
         neighboring rights to this software to the public domain worldwide.""",

@@ -1,5 +1,7 @@
 import random
 
+import pytest
+
 from meterlens.llm import licences as L
 from tests.llm.conftest import EDGE, make
 
@@ -87,3 +89,46 @@ def test_matches_are_those_of_all_passages():
         assert matcher.matches(text) == want
         several += len(want) > 1
     assert several > 20
+
+
+GNU = ("This {} is free software: you can redistribute it and/or modify it under the terms of the GNU {} "
+       "License as published by the Free Software Foundation, either version {} of the License, or (at "
+       "your option) any later version.")
+
+
+@pytest.mark.parametrize("what", ["program", "library", "tool"])
+@pytest.mark.parametrize("licence,name,version", [
+    ("GPL-2.0", "General Public", "2"), ("GPL-3.0", "General Public", "3"),
+    ("LGPL-2.0", "Library General Public", "2"), ("LGPL-2.1", "Lesser General Public", "2.1"),
+    ("LGPL-3.0", "Lesser General Public", "3"), ("AGPL-3.0", "Affero General Public", "3")])
+def test_licences_of_the_gnu_family_are_told_apart(what, licence, name, version):
+    assert [m[0] for m in MATCHER.matches(GNU.format(what, name, version))] == [licence]
+    short = f"This work is licensed under the GNU {name} License, version {version}."
+    assert [m[0] for m in MATCHER.matches(short)] == [licence]
+
+
+@pytest.mark.parametrize("version,where", [("4.0", "International"), ("3.0", "Unported")])
+@pytest.mark.parametrize("marks", ["BY", "BY-SA", "BY-NC", "BY-ND", "BY-NC-SA", "BY-NC-ND"])
+def test_creative_commons_licences_are_told_apart(marks, version, where):
+    words = {"BY": "Attribution", "SA": "ShareAlike", "NC": "NonCommercial",
+             "ND": "NoDerivatives" if version == "4.0" else "NoDerivs"}
+    name = "-".join(words[m] for m in marks.split("-"))
+    for text in (f"Licensed under CC {marks} {version}.",
+                 f"This work is licensed under a Creative Commons {name} {version} {where} License."):
+        assert [m[0] for m in MATCHER.matches(text)] == [f"CC-{marks}-{version}"], text
+
+
+def test_permissive_licences_are_told_apart():
+    """Whole texts, as bullets and with another holder than in the template."""
+    names = ["MIT", "MIT-0", "ISC", "0BSD", "BSD-2-Clause", "BSD-3-Clause", "BSD-4-Clause", "BSL-1.0"]
+    for name in names:
+        text = L.TEMPLATES[name][-1]
+        for n in "1234":
+            text = text.replace(f" {n}. ", " * ")
+        text = text.replace("the copyright holder nor", "Example University nor").replace("the author", "us")
+        assert [m[0] for m in MATCHER.matches(text)] == [name], name
+
+
+def test_a_version_names_its_own_licence():
+    one, two = L.TEMPLATES["EPL-1.0"][0], L.TEMPLATES["EPL-2.0"][0]
+    assert [m[0] for m in MATCHER.matches(f"{one} Then: {two}")] == ["EPL-1.0", "EPL-2.0"]
