@@ -169,7 +169,8 @@ def _linked(percent: int):
 
     Rows come sorted by (bucket, low, high). Of the links of a row to one component one is
     enough, and components that a link has joined are one from then on, so a block gives
-    fewer links than it has rows.
+    fewer links than it has rows. Rows that begin in the largest component are not visited:
+    every other row is, so of two rows one is visited, unless both began in that one.
     """
     def links(rows: pa.Table) -> Iterator[tuple[int, int]]:
         node, comp, n, own = (rows.column(c).to_numpy() for c in ("node", "component", "n", "own"))
@@ -183,9 +184,9 @@ def _linked(percent: int):
         begins = np.searchsorted(values[order], values, "left")
         stops = np.searchsorted(values[order], values, "right")
         names, comp = np.unique(comp, return_inverse=True)
+        visited = comp != np.bincount(comp, minlength=len(names)).argmax()
         for r in np.argsort(n, kind="stable"):
-            most = np.bincount(comp, minlength=len(names)).argmax()
-            if comp[r] == most:
+            if not visited[r]:
                 continue
             small, large = np.minimum(n, n[r]), np.maximum(n, n[r])
             other = (comp != comp[r]) & (small * 100 >= large * percent)

@@ -2,6 +2,7 @@ import random
 import re
 from collections import Counter, defaultdict
 
+import pyarrow as pa
 import pytest
 
 from meterlens.llm import neardup
@@ -77,3 +78,18 @@ def test_components_of_a_long_chain_and_a_star(spark):
     chain, star = {got[k] for k in range(100, 161)}, {got[k] for k in [7, *range(1000, 1200)]}
     assert len(chain) == len(star) == 1 and chain != star
     assert set(got) == {*range(100, 161), 7, *range(1000, 1200)}
+
+
+def test_links_of_rows_whose_component_is_overtaken():
+    """Rows 0 to 6 in components {0,1,2}, {3,4}, {5,6}; 3 and 5 are linked, and 0 and 4."""
+    core, other = list(range(1000, 1040)), list(range(2000, 2040))
+    sets = [core[:], [1], [2], [*other, 3, 4, 5], [*core, 7, 8], [*other, 6], [9] * 1]
+    rows = pa.RecordBatch.from_pydict({
+        "bucket": [1] * 7, "low": [0] * 7, "high": [0] * 7, "own": [0] * 7, "node": list(range(7)),
+        "component": [0, 0, 0, 3, 3, 5, 5], "n": [len(s) for s in sets], "shingles": sets,
+    })
+    order = sorted(range(7), key=lambda r: len(sets[r]))
+    assert [r for r in order if r in (0, 3, 4, 5)] == [0, 5, 4, 3]
+    found = [pair for b in neardup._linked(80)([rows]) for pair in zip(*(c.to_pylist() for c in b.columns))]
+    joined = {frozenset({0: 0, 1: 0, 2: 0, 3: 3, 4: 3, 5: 5, 6: 5}[x] for x in pair) for pair in found}
+    assert joined == {frozenset({0, 3}), frozenset({3, 5})}
