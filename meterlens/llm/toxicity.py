@@ -5,7 +5,8 @@ has a bucket or has it not. Over all labelled training rows Spark counts in how
 and other documents a bucket occurs. The log ratio of the two shares scales the bucket's
 feature; the ``FEATURES`` buckets that tell the classes apart best are kept. A logistic
 regression with an L2 penalty is fitted on them, on at most ``FIT_ROWS`` labelled rows of
-each class, drawn by hash and weighted back to their share. Whole texts are scored.
+each class, drawn by hash of id and text and weighted back to their share. Rows that repeat
+both id and text are learned from once. Whole texts are scored.
 
 Defined cases: null and empty texts have no n-gram and get the score of the intercept;
 without labelled rows of both classes all get the share of toxic ones (0.5 if there is
@@ -23,6 +24,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from meterlens.llm.labelled import decided, training_labels, with_labels
+from meterlens.session import settle
 
 GRAMS = (3, 4, 5)
 BUCKET_BITS = 20
@@ -152,15 +154,24 @@ def _below(model: tuple, text_column: str, limit: float):
 
 def train(texts: DataFrame, labels: DataFrame, features: int = FEATURES, fit_rows: int = FIT_ROWS):
     """(buckets, weights, intercept) from texts (doc_id, text) and labels (doc_id, label)."""
-    sizes = {r[0]: r[1] for r in labels.groupBy("label").count().collect()}
-    n = [sizes.get(0, 0), sizes.get(1, 0)]
+    def of_each(rows: DataFrame) -> list[int]:
+        sizes = {r[0]: r[1] for r in rows.groupBy("label").count().collect()}
+        return [sizes.get(0, 0), sizes.get(1, 0)]
+
+    n = of_each(labels)
     nothing = np.zeros(0, np.int64)
     share = (n[1] / sum(n)) if sum(n) else 0.5
     share = min(max(share, 1e-9), 1 - 1e-9)
     prior = (nothing, np.zeros(0), float(np.log(share / (1 - share))))
     if not all(n):
         return prior
-    rows = with_labels(texts, labels).select("doc_id", "text", "label")
+    # An id may stand in many rows: from here on the rows count, not the labels.
+    rows = settle(
+        with_labels(texts, labels).select("doc_id", "text", "label").dropDuplicates(["doc_id", "text"])
+    )
+    n = of_each(rows)
+    if not all(n):
+        return prior
     clean, toxic = F.col("clean"), F.col("toxic")
     with_bucket, without = (clean + toxic) / sum(n), 1 - (clean + toxic) / sum(n)
     apart = F.abs(toxic / n[1] - clean / n[0]) / F.sqrt(F.greatest(with_bucket * without, F.lit(1e-12)))
@@ -177,7 +188,7 @@ def train(texts: DataFrame, labels: DataFrame, features: int = FEATURES, fit_row
     ratio = np.log((counts[:, 1] + 1) / (n[1] + 2)) - np.log((counts[:, 0] + 1) / (n[0] + 2))
     # Rows to fit on, drawn by hash: about fit_rows of a class at most.
     parts = [min(1.0, fit_rows / c) for c in n]
-    draw = F.pmod(F.xxhash64("doc_id", F.lit(4)), F.lit(1 << 20)) < F.when(
+    draw = F.pmod(F.xxhash64("doc_id", "text", F.lit(4)), F.lit(1 << 20)) < F.when(
         F.col("label") == 1, int(parts[1] * (1 << 20))
     ).otherwise(int(parts[0] * (1 << 20)))
     found = rows.filter(draw).select("text", "label") \

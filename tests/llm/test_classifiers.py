@@ -72,3 +72,25 @@ def test_very_long_text_has_the_buckets_of_its_parts(monkeypatch):
     whole = toxicity.gram_buckets(text)
     monkeypatch.setattr(toxicity, "SLICE", 100)
     assert (toxicity.gram_buckets(text) == whole).all()
+
+
+def test_repeated_ids_are_counted_as_rows(spark, labelled, monkeypatch):
+    docs, labels, _ = labelled
+    texts = docs.filter("doc_id > 14").select("doc_id", "text")
+    known = labels.selectExpr("doc_id", "toxic as label")
+    fitted, fit = [], toxicity.fit_logistic
+
+    def seen(row, column, value, label, *more):
+        fitted.append(np.bincount(label.astype(int), minlength=2))
+        return fit(row, column, value, label, *more)
+
+    monkeypatch.setattr(toxicity, "fit_logistic", seen)
+    once = toxicity.train(texts, known, 64)
+    again = texts.filter("doc_id = 16").crossJoin(spark.range(500).select()).unionByName(texts)
+    buckets, weights, intercept = toxicity.train(again, known, 64)
+    assert (buckets == once[0]).all() and np.allclose(weights, once[1]) and np.isclose(intercept, once[2])
+    assert (fitted[0] == fitted[1]).all()
+    # One id with many texts stays within the bound too.
+    many = spark.range(3000).selectExpr("16L as doc_id", "concat('some text ', id) as text").unionByName(texts)
+    toxicity.train(many, known, 64, fit_rows=100)
+    assert (fitted[2] > 0).all() and (fitted[2] < 160).all()
