@@ -2,7 +2,9 @@
 
 ``detect`` finds entities in a text. An entity's surrogate is drawn from an HMAC of its
 normal form under a secret key, so one value has one surrogate wherever it stands, and
-nothing is kept to remember it. A surrogate has the form of what it stands for: letters,
+nothing is kept to remember it. Names are found behind a title, or as listed given names
+with a family name behind them, and then wherever they stand again in the same text as whole
+words; other names are not found. A surrogate has the form of what it stands for: letters,
 digits and separators stay where they are, card numbers and IBANs keep valid check digits
 if they had them, names keep gender, script and case.
 
@@ -79,6 +81,9 @@ TITLED = re.compile(
     r"\b(?P<title>" + "|".join(sorted(GENDER_OF_TITLE, key=len, reverse=True)) + r")\b\.? "
     rf"(?P<names>{NAME}(?: {NAME}){{0,2}})"
 )
+GIVEN_NAME = "(?:" + "|".join(sorted(GENDER_OF_NAME, key=len, reverse=True)) + ")"
+UNTITLED = re.compile(rf"(?<![\w-])(?P<names>{GIVEN_NAME}(?: {GIVEN_NAME})* {NAME})(?!\w)")
+MENTION = re.compile(rf"(?<!\w){NAME}(?!\w)")
 
 
 def luhn(digits: str) -> bool:
@@ -97,9 +102,9 @@ def _script(name: str) -> str:
 
 
 def _names(match: re.Match) -> Iterator[tuple[int, int, str, str]]:
-    """Given and family names of a titled name, as entities of their own."""
+    """Given and family names of a titled or untitled name, as entities of their own."""
     parts = [(m.start(), m[0]) for m in re.finditer(r"\S+", match["names"])]
-    gender = GENDER_OF_TITLE[match["title"]]
+    gender = GENDER_OF_TITLE[match["title"]] if "title" in match.re.groupindex else ""
     for k, (at, name) in enumerate(parts):
         family = k == len(parts) - 1
         own = gender or GENDER_OF_NAME.get(parts[0][1], "")
@@ -108,6 +113,19 @@ def _names(match: re.Match) -> Iterator[tuple[int, int, str, str]]:
         yield begin, begin + len(name), kind, name
 
 
+def _mentions(text: str, named: list[tuple[int, int, str, str]]) -> Iterator[tuple[int, int, str, str]]:
+    """All whole words that are one of the names found in the text, of the kind found first."""
+    kinds: dict[str, str] = {}
+    for _, _, kind, name in sorted(named, key=lambda s: s[0]):
+        kinds.setdefault(name, kind)
+    for match in MENTION.finditer(text):
+        at = match.start()
+        for name in [match[0]] if match[0] in kinds else match[0].split("-"):
+            if name in kinds:
+                yield at, at + len(name), kinds[name], name
+            at += len(name) + 1
+
+
 def detect(text: str | None) -> list[tuple[int, int, str, str]]:
     """(start, end, kind, value) of the entities in a text, in order, none overlapping."""
     if not text:
@@ -126,8 +144,10 @@ def detect(text: str | None) -> list[tuple[int, int, str, str]]:
             if kind == "phone" and not 7 <= sum(c.isdigit() for c in value) <= 15:
                 continue
             spans.append((match.start(group), match.end(group), kind, value))
-    for match in TITLED.finditer(text):
-        spans.extend(_names(match))
+    named = [n for pattern in (TITLED, UNTITLED) for match in pattern.finditer(text) for n in _names(match)]
+    if named:
+        spans += named
+        spans += _mentions(text, named)
     kept: list[tuple[int, int, str, str]] = []
     for span in sorted(spans, key=lambda s: s[0]):  # of one start, the pattern named first
         if not kept or span[0] >= kept[-1][1]:

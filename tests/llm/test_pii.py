@@ -62,3 +62,32 @@ def test_edge_cases_keep_rows_and_columns(edge, nothing):
 @pytest.mark.parametrize("text", ["", "a@b", "@", "+", "9" * 50_000, "a" * 60_000 + "@", "Mr. ", "token ="])
 def test_odd_texts_do_not_fail(text):
     assert pii.replace(text, KEY)[0] == text
+
+
+def test_names_without_title_are_found():
+    text = "Anna Schmidt and Paul Martin Öztürk met Ирина Иванова. Anna met Jonas Weber-Klein; Hanna did not."
+    new, n, spans = pii.replace(text, KEY)
+    assert n == 10
+    for old in ("Anna S", "Schmidt", "Paul", "Öztürk", "Ирина", "Иванова", "Jonas", "Weber"):
+        assert old not in new
+    assert "Hanna did not" in new
+    assert spans[0][2] == "given/latin/f" and spans[2][2] == "given/latin/m"
+
+
+def test_further_mentions_get_the_same_surrogate():
+    text = "Schmidt came. Frau Anna Schmidt spoke; Schmidt's talk, Anna-Schmidt, Schmidtchen and Annas stay."
+    new, n, spans = pii.replace(text, KEY)
+    shown = [(k.split("/")[0], new[a:b]) for a, b, k in spans]
+    assert n == 6 and len({v for k, v in shown if k == "family"}) == 1
+    assert [k for k, _ in shown] == ["family", "given", "family", "family", "given", "family"]
+    assert "Schmidtchen and Annas stay" in new
+    assert pii.replace("Schmidt and the others", KEY)[1] == 0  # in another text
+
+
+def test_mentions_over_a_table(spark):
+    docs = [(1, "Frau Anna Schmidt spoke. Later Schmidt left."), (2, "Anna Schmidt wrote; Schmidt signed.")]
+    new = {r.doc_id: r for r in pii.surrogates(make(spark, docs), KEY).collect()}
+    family = new[1].text.split()[2]
+    assert family != "Schmidt" and "Schmidt" not in new[1].text + new[2].text
+    assert new[1].text.count(family) == 2 and new[2].text.count(family) == 2
+    assert [new[k].n_entities for k in (1, 2)] == [3, 3]
