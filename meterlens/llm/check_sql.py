@@ -99,3 +99,94 @@ reach as (
 )
 select d.doc_id, coalesce(n, 0)::bigint as n_shingles, min(b) as component_id, d.doc_id = min(b) as kept
 from d join reach on d.doc_id = a left join n on n.doc_id = d.doc_id group by 1, 2"""
+
+PLAIN_WORDS = r"regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+')"
+
+HOST_SQL = rf"""
+with d as (
+    select row_number() over () as r, doc_id, source, coalesce(text, '') as t, {PLAIN_WORDS} as w
+    from documents
+), windows as (
+    select r, p, list_slice(w, p, p + 7) as phrase
+    from (select r, w, unnest(range(1, len(w) - 6)) as p from d where len(w) >= 8)
+), again as (
+    select r, p from (select r, p, count(*) over (partition by r, phrase) as c from windows) where c > 1
+), repeated as (
+    select r, count(distinct k) as c from (select r, unnest(range(p, p + 8)) as k from again) group by r
+), lines as (
+    select r, count(*) as n, count(*) - count(distinct line) as dup
+    from (select r, unnest(string_split(t, chr(10))) as line from d)
+    where regexp_matches(line, '[^\x20\x09-\x0D]') group by r
+), m as (
+    select d.r, doc_id, source, len(w)::bigint as n_words,
+           coalesce(list_sum(list_transform(w, lambda x: length(x))), 0)::bigint as word_chars,
+           len(regexp_extract_all(t, '[#*$%&|<>]'))::bigint as n_symbols,
+           coalesce(n, 0)::bigint as n_lines, coalesce(dup, 0)::bigint as n_dup_lines,
+           coalesce(c, 0)::bigint as n_repeat_words
+    from d left join repeated using (r) left join lines using (r)
+), f as (
+    select *, n_words < 20 as short, 100 * n_repeat_words > 30 * n_words as repeats,
+           100 * n_symbols > 10 * n_words as symbols, 100 * n_dup_lines > 30 * n_lines as lines
+    from m
+), flags as (
+    select r, source, unnest([short, repeats, symbols, lines, short or repeats or symbols or lines]) as bad,
+           unnest([1, 2, 3, 4, 5]) as rule
+    from f where source is not null
+), hosts as (
+    select source, rule, count(*)::double as n, (count(*) filter (bad))::double as b
+    from flags group by 1, 2
+), sums as (
+    select rule, count(*) as h, sum(n) as n, sum(b) / sum(n) as mean, sum(n * n) as nn, sum(b * b / n) as bb
+    from hosts group by rule
+), prior as (
+    select rule, mean, case when mean <= 0 or mean >= 1 or n - nn / n - (h - 1) <= 1e-9 * n then 0
+        else ((bb - mean * mean * n) / (mean * (1 - mean)) - (h - 1)) / (n - nn / n - (h - 1)) end as share
+    from sums
+), rates as (
+    select source, case when share <= 1e-12 then mean
+        else (b + (1 / least(share, 0.999) - 1) * mean) / (n + 1 / least(share, 0.999) - 1) end as rate
+    from hosts join prior using (rule)
+), verdicts as (select source, max(rate) > 0.5 as rejected from rates group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words,
+       short or repeats as base_failed, coalesce(rejected, false) as rejected,
+       not (short or repeats or symbols or lines or coalesce(rejected, false)) as kept
+from f left join verdicts using (source)"""
+
+AUDIT_SQL = rf"""
+with d as (
+    select doc_id, coalesce(source, '') as part, coalesce(text, '') as t, {PLAIN_WORDS} as w
+    from documents
+), bits as (
+    select doc_id, part, (len(w) < 200)::integer + 2 * (100 * len(list_distinct(w)) < 50 * len(w))::integer
+        + 4 * (100 * len(regexp_extract_all(t, '[A-Z]')) > 2 * length(t))::integer
+        + 8 * regexp_matches(t, '[#$%&*|]')::integer
+        + 16 * coalesce(doc_id > min(doc_id) over (partition by t), false)::integer as bits
+    from d
+), known as (
+    select doc_id, max((quality = 1)::integer) as good, max((toxic = 1)::integer) as toxic
+    from labels where doc_id is not null group by 1
+), counted as (
+    select part, bits, count(*) as n, count(*) filter (good = 1) as good, count(*) filter (toxic = 1) as toxic
+    from bits left join known using (doc_id) group by 1, 2
+), f as (select * from (values ('A', 1), ('B', 2), ('C', 4), ('D', 8), ('E', 16)) f(l, m)),
+orders as (
+    select a.l || b.l || c.l || d.l || e.l as filter_order, [a.m, b.m, c.m, d.m, e.m] as masks
+    from f a join f b on b.l <> a.l join f c on c.l not in (a.l, b.l)
+        join f d on d.l not in (a.l, b.l, c.l) join f e on e.l not in (a.l, b.l, c.l, d.l)
+), steps as (
+    select filter_order, step, masks[step] as own,
+           coalesce(list_sum(list_slice(masks, 1, step - 1)), 0)::integer as before
+    from (select *, unnest(range(1, 6)) as step from orders)
+), each as (
+    select part, filter_order, step, own,
+        sum(case when bits & (before | own) = 0 then n else 0 end)::bigint as kept,
+        sum(case when bits & before = 0 and bits & own > 0 then n else 0 end)::bigint as removed,
+        sum(case when bits & before > 0 and bits & own > 0 then n else 0 end)::bigint as redundant,
+        sum(case when bits = own then n else 0 end)::bigint as unique_fails,
+        sum(case when bits & before = 0 and bits & own > 0 then good else 0 end)::bigint as good_lost,
+        sum(case when bits & before = 0 and bits & own > 0 then toxic else 0 end)::bigint as toxic_lost
+    from counted, steps group by 1, 2, 3, 4
+)
+select part, filter_order, step::integer as step, kept, removed, redundant, unique_fails, good_lost,
+       toxic_lost, (sum(removed) over (partition by part, own))::bigint as shapley
+from each"""

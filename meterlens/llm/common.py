@@ -70,3 +70,25 @@ def fresh(df: DataFrame, name: str) -> str:
     while name.lower() in taken:
         name = f"_{name}"
     return name
+
+
+def lanes_for_join(
+    left: DataFrame, counted: DataFrame, key: str, row: Column, total: int,
+    share: int = 1000, lanes: int = 64,
+) -> tuple[DataFrame, DataFrame]:
+    """Both sides with a column ``lane``, so that a join on (key, lane) splits hot keys.
+
+    ``counted`` has one row per key, with ``n``, the rows of ``left`` that hold it. A key is
+    hot if it holds more than one of ``share`` parts of the ``total`` rows, so fewer than
+    ``share`` keys are, and those are broadcast. ``row`` deals the rows of a hot key, and
+    those without a key, to its lanes; ``counted`` gets a copy of its hot rows per lane.
+    """
+    hot = F.col("n") * share > total
+    few = F.broadcast(counted.filter(hot).select(F.col(key).alias("_hot")))
+    dealt = F.when(
+        F.col("_hot").isNotNull() | F.col(key).isNull(), F.pmod(F.xxhash64(row), F.lit(lanes)).cast("int")
+    ).otherwise(0)
+    return (
+        left.join(few, F.col(key) == F.col("_hot"), "left").withColumn("lane", dealt).drop("_hot"),
+        counted.withColumn("lane", F.explode(F.sequence(F.lit(0), F.when(hot, lanes - 1).otherwise(0)))),
+    )

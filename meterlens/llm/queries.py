@@ -8,10 +8,12 @@ from pyspark.sql import functions as F
 
 from meterlens.catalog.base import Query
 from meterlens.llm import (
-    decontamination, licences, neardup, packing, pii, quality, sharding, tokenfile, toxicity,
-    vectors,
+    decontamination, hosts, interaction, licences, neardup, packing, pii, quality, sharding,
+    tokenfile, toxicity, vectors, whitening,
+)
+from meterlens.llm.check_sql import (
+    AUDIT_SQL, DEDUP_SQL, HOST_SQL, LEAK_SQL, SEARCH_SQL, SHARD_SQL,
 )
-from meterlens.llm.check_sql import DEDUP_SQL, LEAK_SQL, SEARCH_SQL, SHARD_SQL
 from meterlens.llm.common import table
 
 # The key of a real run comes from spark.meterlens.pii.key.
@@ -67,6 +69,22 @@ def good(spark: SparkSession, folder: str) -> DataFrame:
     return quality.quality(table(spark, folder, "documents"), table(spark, folder, "labels"))
 
 
+def judge_hosts(spark: SparkSession, folder: str) -> DataFrame:
+    judged = hosts.host_rules(table(spark, folder, "documents"))
+    return judged.select(
+        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words",
+        (F.col("short") | F.col("repeats")).alias("base_failed"), "rejected", "kept",
+    )
+
+
+def whitened(spark: SparkSession, folder: str) -> DataFrame:
+    return whitening.whiten(table(spark, folder, "embeddings"))
+
+
+def audit_filters(spark: SparkSession, folder: str) -> DataFrame:
+    return interaction.audit(table(spark, folder, "documents"), table(spark, folder, "labels"))
+
+
 QUERIES = {
     "op1_packing": Query(pack),
     "op2_sharding": Query(shard, SHARD_SQL),
@@ -78,4 +96,7 @@ QUERIES = {
     "op8_minhash": Query(dedup, DEDUP_SQL),
     "op9_quality": Query(good),
     "op10_licences": Query(licensed),
+    "op11_host_rules": Query(judge_hosts, HOST_SQL),
+    "op12_whitening": Query(whitened),
+    "op13_filter_audit": Query(audit_filters, AUDIT_SQL),
 }
