@@ -191,6 +191,8 @@ LEARNING = {
     "anomaly_chain": Query(lambda s, d: detect_anomalies(_timed(s, d), FEW_ISOLATION)),
     "seasonal_forecast": Query(
         lambda s, d: forecast.seasonal_forecast(tables.electricity(s, d))),
+    "searched_forecast": Query(
+        lambda s, d: forecast.seasonal_forecast(tables.electricity(s, d), SeasonalParams(order=None))),
     "seasonal_forecast_metrics": Query(_forecast_metrics),
     "order_search": Query(
         lambda s, d: forecast.best_orders(forecast.order_scores(tables.electricity(s, d)))),

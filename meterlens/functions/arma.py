@@ -1,7 +1,7 @@
-"""Seasonal ARMA on one short series by two least-squares steps (Hannan-Rissanen).
+"""Small systems of the seasonal ARMA: lag sets, least squares from sums, recursion.
 
-A long autoregression gives estimates of the shocks; the model is then a linear
-regression on lagged values and lagged shocks.
+Nothing here sees a series: the sums come from grouped aggregates, and a forecast goes on
+from the last values alone (as many as the longest lag).
 """
 
 from __future__ import annotations
@@ -9,25 +9,40 @@ from __future__ import annotations
 import numpy as np
 
 
-def _lagged(x: np.ndarray, lags: list[int], start: int) -> np.ndarray:
-    columns = [x[start - k : len(x) - k] for k in lags]
-    return np.column_stack(columns) if columns else np.empty((len(x) - start, 0))
-
-
-def _lags(order: int, seasonal: int, season: int) -> list[int]:
+def lag_set(order: int, seasonal: int, season: int) -> list[int]:
     """Lags of the product of an ordinary and a seasonal polynomial."""
     plain = range(order + 1)
     return sorted({i + season * j for i in plain for j in range(seasonal + 1)} - {0})
 
 
-def _solve(design: np.ndarray, target: np.ndarray) -> np.ndarray:
-    """Least squares with a tiny ridge, so short series stay solvable."""
-    gram = design.T @ design
-    scale = np.trace(gram) / max(len(gram), 1)
-    return np.linalg.solve(gram + (1e-6 * scale + 1e-9) * np.eye(len(gram)), design.T @ target)
+def solve(gram: np.ndarray, right: np.ndarray) -> np.ndarray:
+    """Least squares from its sums, with a tiny ridge so that short series stay solvable."""
+    if not len(gram):
+        return np.zeros(0)
+    scale = np.trace(gram) / len(gram)
+    return np.linalg.solve(gram + (1e-6 * scale + 1e-9) * np.eye(len(gram)), right)
+
+
+def lagged_gram(first: np.ndarray, head: np.ndarray, tail: np.ndarray) -> np.ndarray:
+    """Sums of x[t-i] * x[t-j] over t >= start, for lags up to ``len(first) - 1``.
 
+    ``first`` holds the sums of x[t] * x[t-j]. One lag further on both sides is the same sum
+    over rows moved by one, so an entry follows from the one above it to the left by the
+    products that enter before the start (``head``, the values before it) and that leave at
+    the end (``tail``, the last values of the series).
+    """
+    many = len(first)
+    out = np.empty((many, many))
+    out[0] = out[:, 0] = first
+    for i in range(1, many):
+        for j in range(i, many):
+            out[i, j] = out[j, i] = (
+                out[i - 1, j - 1] + head[-i] * head[-j] - tail[-i] * tail[-j]
+            )
+    return out
 
-def _stable(coefficients: np.ndarray, lags: list[int]) -> np.ndarray:
+
+def stable(coefficients: np.ndarray, lags: list[int]) -> np.ndarray:
     """Pull explosive autoregressive roots back inside the unit circle."""
     if not lags:
         return coefficients
@@ -40,49 +55,21 @@ def _stable(coefficients: np.ndarray, lags: list[int]) -> np.ndarray:
     return coefficients * (0.99 / radius) ** np.array(lags)
 
 
-def fit_arma(y: np.ndarray, order: tuple, seasonal: tuple, season: int) -> dict | None:
-    """Fitted model with AIC, or None when the series is too short."""
-    p, d, q = order
-    w = np.diff(np.asarray(y, dtype=float), n=d)
-    if len(w) < 8:
-        return None
-    seasons = min(1, len(w) // (3 * season))
-    ar = _lags(p, seasonal[0] * seasons, season)
-    ma = _lags(q, seasonal[2] * seasons, season)
-    mean = w.mean()
-    x = w - mean
-    reach = max([*ar, *ma, 1])
-    long = min(reach + 2, len(x) // 3)
-    long_lags = list(range(1, long + 1))
-    design = _lagged(x, long_lags, long)
-    shocks = np.zeros(len(x))
-    shocks[long:] = x[long:] - design @ _solve(design, x[long:])
-    start = min(reach + long, len(x) - len(ar) - len(ma) - 2)
-    if start < reach:
-        return None
-    design = np.hstack([_lagged(x, ar, start), _lagged(shocks, ma, start)])
-    beta = _solve(design, x[start:])
-    rest = x[start:] - design @ beta
-    sse = max(float(rest @ rest), 1e-12)
-    n = len(rest)
-    return {
-        "y": np.asarray(y, dtype=float), "x": x, "mean": mean, "d": d, "shocks": shocks,
-        "ar": ar, "ma": ma,
-        "phi": _stable(beta[: len(ar)], ar), "theta": beta[len(ar) :],
-        "aic": n * np.log(sse / n) + 2 * (len(beta) + 1),
-    }
-
-
-def forecast_arma(model: dict, steps: int) -> np.ndarray:
-    """Recursive forecast; future shocks are zero; never negative."""
-    x, e = list(model["x"]), list(model["shocks"])
-    for _ in range(steps):
-        t = len(x)
-        value = sum(c * x[t - k] for c, k in zip(model["phi"], model["ar"]))
-        value += sum(c * e[t - k] for c, k in zip(model["theta"], model["ma"]))
-        x.append(value)
-        e.append(0.0)
-    future = np.array(x[-steps:]) + model["mean"]
-    if model["d"]:
-        future = model["y"][-1] + np.cumsum(future)
-    return np.maximum(future, 0.0)
+def fit_from_sums(gram: np.ndarray, chosen: list[int], n: int) -> tuple[np.ndarray, float]:
+    """(coefficients, AIC) of the regression of column 0 on the ``chosen`` columns."""
+    left, right = gram[np.ix_(chosen, chosen)], gram[chosen, 0]
+    beta = solve(left, right)
+    sse = max(float(gram[0, 0] - 2 * beta @ right + beta @ left @ beta), 1e-12)
+    return beta, n * np.log(sse / n) + 2 * (len(chosen) + 1)
+
+
+def go_on(
+    x: np.ndarray, e: np.ndarray, phi: np.ndarray, ar: list[int], theta: np.ndarray, ma: list[int], steps: int
+) -> np.ndarray:
+    """The next values after the last ``x`` and shocks ``e``; future shocks are zero."""
+    x = np.concatenate([x, np.zeros(steps)])
+    e = np.concatenate([e, np.zeros(steps)])
+    ar, ma = np.array(ar, int), np.array(ma, int)
+    for t in range(len(x) - steps, len(x)):
+        x[t] = phi @ x[t - ar] + theta @ e[t - ma]
+    return x[len(x) - steps:]

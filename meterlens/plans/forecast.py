@@ -1,98 +1,324 @@
-"""Per-building seasonal forecasts for all buildings in one job."""
+"""Per-building seasonal forecasts for all buildings, from grouped sums.
+
+Seasonal ARMA by two least-squares steps (Hannan-Rissanen). A long autoregression gives
+estimates of the shocks; the model is then a regression on lagged values and lagged shocks.
+Both steps need only sums of products per building, which are ordinary aggregates over lag
+columns; their small systems are solved in Arrow batches, many buildings each. A building's
+series stays in Spark, however long it is, and all orders of a search share one pass: their
+systems are parts of one matrix of sums.
+"""
 
 from __future__ import annotations
 
+from collections.abc import Iterable, Iterator
+from dataclasses import dataclass
+from functools import reduce
+
 import numpy as np
-import pandas as pd
-from pyspark.sql import DataFrame
+import pyarrow as pa
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlens.config import ORDER_GRID, TARGET, SeasonalParams
-from meterlens.functions.arma import fit_arma, forecast_arma
+from meterlens.functions.arma import fit_from_sums, go_on, lag_set, lagged_gram, solve, stable
 from meterlens.operators.fills import hourly_grid
-from meterlens.operators.filters import tail_rows
 from meterlens.operators.windows import history_windows
+from meterlens.session import bounded_broadcast, settle
 
 WEEK = 168
+LEAST_HOURS = 8
+SERIES = ["building_id", "d"]
 
 
-def recent_hours(df: DataFrame, hours: int | None, target: str = TARGET) -> DataFrame:
-    """Hourly rows per building, or (``hours`` given) enough of them for its last hours.
+@dataclass(frozen=True)
+class Lags:
+    """Lags that the orders at hand use together."""
 
-    A building has one row per hour of the calendar, however many readings it has.
-    Of a limited history either the last hours have no gap, or an earlier row is
-    among these and carries its value into the first gap.
-    """
-    hourly = df.groupBy(
-        "building_id", F.date_trunc("hour", "timestamp").cast("timestamp_ntz").alias("timestamp")
-    ).agg(F.avg(target).alias(target))
-    return hourly if hours is None else tail_rows(hourly, ["building_id"], hours)
+    ar: list[int]
+    ma: list[int]
 
+    @property
+    def reach(self) -> int:
+        return max([*self.ar, *self.ma, 1])
 
-def _regular(pdf: pd.DataFrame, hours: int | None, target: str) -> pd.Series:
-    """Gap-free hourly series of the last ``hours`` hours (None: all) of one building."""
-    series = pdf.set_index("timestamp")[target].sort_index()
-    grid = pd.date_range(series.index[0], series.index[-1], freq="h")
-    return series.reindex(grid).ffill().bfill().iloc[-hours if hours else 0:]
+    @classmethod
+    def of(cls, orders: list[tuple], p: SeasonalParams, seasonal: bool) -> Lags:
+        def union(place: int, times: int) -> list[int]:
+            return sorted({k for o in orders for k in lag_set(o[place], times, p.season)})
 
+        return cls(union(0, p.seasonal[0] * seasonal), union(2, p.seasonal[2] * seasonal))
 
-def seasonal_forecast(
-    train: DataFrame, p: SeasonalParams = SeasonalParams(), target: str = TARGET
-) -> DataFrame:
-    """(building_id, step, timestamp, prediction) for the next ``horizon`` hours (None: a week)."""
-    horizon = p.horizon or WEEK
-
-    def forecast(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        series = _regular(pdf, p.history, target)
-        model = fit_arma(series.to_numpy(), p.order, p.seasonal, p.season)
-        if model is None:
-            values = np.full(horizon, max(float(series.iloc[-1]), 0.0))
-        else:
-            values = forecast_arma(model, horizon)
-        steps = np.arange(1, horizon + 1)
-        return pd.DataFrame(
-            {
-                "building_id": key[0],
-                "step": steps.astype("int32"),
-                "timestamp": series.index[-1] + pd.to_timedelta(steps, unit="h"),
-                "prediction": values,
-            }
-        )
 
+def hourly_history(train: DataFrame, hours: int | None, target: str = TARGET) -> DataFrame:
+    """(building_id, timestamp, y): gap-free hours of each building, or its last ``hours`` of them."""
+    grid = hourly_grid(train, target=target).filter(F.col(target).isNotNull()).select(
+        "building_id", "timestamp", F.col(target).cast("double").alias("y")
+    )
+    if hours is None:
+        return grid
+    last = grid.groupBy("building_id").agg(F.max("timestamp").alias("_last"))
+    return grid.join(bounded_broadcast(last), "building_id").filter(
+        F.timestamp_diff("HOUR", "timestamp", "_last") < hours
+    ).drop("_last")
+
+
+def _sizes(grid: DataFrame, orders: list[tuple], p: SeasonalParams, degrees: list[int]) -> DataFrame:
+    """Per building and degree of differencing: rows, mean, and where its sums begin."""
+    whole, plain = Lags.of(orders, p, True), Lags.of(orders, p, False)
+    n, seasonal = F.col("n"), F.col("seasonal")
+
+    def by_season(of) -> Column:
+        return F.when(seasonal, of(whole)).otherwise(of(plain))
+
+    mean = F.when(F.col("d") == 0, F.col("mean")).otherwise(
+        F.try_divide(F.col("last_y") - F.col("first_y"), F.col("hours") - 1)
+    )
     return (
-        recent_hours(train, p.history, target)
-        .groupBy("building_id")
-        .applyInPandas(
-            forecast, "building_id long, step int, timestamp timestamp_ntz, prediction double"
+        grid.groupBy("building_id").agg(
+            F.count("*").alias("hours"), F.avg("y").alias("mean"),
+            F.min("timestamp").alias("first_time"), F.max("timestamp").alias("last_time"),
+            F.min_by("y", "timestamp").alias("first_y"), F.max_by("y", "timestamp").alias("last_y"),
         )
+        .withColumn("d", F.explode(F.array(*map(F.lit, degrees))))
+        .withColumn("n", F.col("hours") - F.col("d"))
+        .withColumn("seasonal", n >= 3 * p.season)
+        .withColumn("reach", by_season(lambda lags: F.lit(lags.reach)))
+        .withColumn("long", F.least(F.col("reach") + 2, F.floor(n / 3)).cast("int"))
+        .withColumn("start", F.least(
+            F.col("reach") + F.col("long"),
+            n - by_season(lambda lags: F.lit(len(lags.ar) + len(lags.ma))) - 2,
+        ).cast("int"))
+        .withColumn("fits", (n >= LEAST_HOURS) & (F.col("start") >= F.col("reach")))
+        .select(*SERIES, "n", mean.alias("mean"), "seasonal", "long", "start", "fits", "last_y", "last_time",
+                "first_time")
     )
 
 
-def order_scores(
-    train: DataFrame, p: SeasonalParams = SeasonalParams(), grid: list[tuple] = ORDER_GRID,
+def _centred(grid: DataFrame, sizes: DataFrame, degrees: list[int]) -> DataFrame:
+    """(building_id, d, timestamp, t, x, n, long, start): deviations from the mean, numbered by hour."""
+    before = history_windows(grid, ["building_id"], lambda w: {"_before": F.lag("y", 1).over(w)}, halo=1)
+    each = F.array(*[
+        F.struct(F.lit(d).alias("d"), (F.col("y") - F.col("_before") if d else F.col("y")).alias("w"))
+        for d in degrees
+    ])
+    long_form = before.select("building_id", "timestamp", F.explode(each).alias("s")).select(
+        "building_id", "s.d", "timestamp", "s.w"
+    ).filter("w is not null")
+    of = bounded_broadcast(sizes.filter("fits").select(*SERIES, "n", "mean", "long", "start", "first_time"))
+    return long_form.join(of, SERIES).select(
+        *SERIES, "timestamp", (F.timestamp_diff("HOUR", "first_time", "timestamp") - F.col("d")).alias("t"),
+        (F.col("w") - F.col("mean")).alias("x"), "n", "long", "start",
+    )
+
+
+def _with_lags(rows: DataFrame, column: str, lags: Iterable[int]) -> DataFrame:
+    lags = list(lags)
+    return history_windows(
+        rows, SERIES, lambda w: {f"{column}{k}": F.lag(column, k).over(w) for k in lags},
+        halo=max([*lags, 1]),
+    )
+
+
+def _values(where: Column, column: str) -> Column:
+    """The few values of a series at the rows ``where``, in order."""
+    rows = F.array_sort(F.collect_list(F.when(where, F.struct("t", column))))
+    return F.transform(rows, lambda r: r[column])
+
+
+def _sums(where: Column, pairs: list[tuple[str, str]]) -> Column:
+    return F.array(*[F.sum(F.when(where, F.col(a) * F.col(b))) for a, b in pairs])
+
+
+def _long_fits(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    for batch in batches:
+        out = []
+        for r in batch.select(["long", "products", "head", "tail"]).to_pylist():
+            first = np.array(r["products"][:r["long"] + 1])
+            gram = lagged_gram(first, np.array(r["head"]), np.array(r["tail"]))
+            out.append(solve(gram[1:, 1:], gram[0, 1:]))
+        yield pa.RecordBatch.from_arrays(
+            [batch.column("building_id"), batch.column("d"), pa.array(out, pa.list_(pa.float64()))],
+            names=[*SERIES, "phi"],
+        )
+
+
+def _shocks(lagged: DataFrame, longest: int) -> DataFrame:
+    """Adds ``e``: what the long autoregression of each series leaves, zero where it cannot reach."""
+    n, t = F.col("n"), F.col("t")
+    products = lagged.groupBy(*SERIES).agg(
+        F.first("long").alias("long"),
+        _sums(t >= F.col("long"), [("x", "x"), *(("x", f"x{k}") for k in range(1, longest + 1))])
+        .alias("products"),
+        _values(t < F.col("long"), "x").alias("head"),
+        _values(t >= n - longest, "x").alias("tail"),
+    )
+    long = settle(products.mapInArrow(_long_fits, "building_id long, d int, phi array<double>"))
+    told = reduce(lambda a, b: a + b, [
+        F.coalesce(F.get("phi", F.lit(k - 1)) * F.col(f"x{k}"), F.lit(0.0)) for k in range(1, longest + 1)
+    ])
+    return lagged.join(bounded_broadcast(long), SERIES).withColumn(
+        "e", F.when(t >= F.col("long"), F.col("x") - told).otherwise(0.0)
+    )
+
+
+MODEL = (
+    "building_id long, p int, d int, q int, method string, n long, mean double, aic double, "
+    "ar array<int>, ma array<int>, phi array<double>, theta array<double>, "
+    "x_tail array<double>, e_tail array<double>, last_y double, last_time timestamp_ntz"
+)
+PLAIN, SEASONAL, LAST = "plain", "seasonal", "last value"
+
+
+def _order_fits(orders: list[tuple], p: SeasonalParams, columns: list[str]):
+    """Solves every order of a series from its one matrix of sums."""
+    place = {c: k for k, c in enumerate(columns)}
+    lags = {(o, s): Lags.of([o], p, s) for o in orders for s in (True, False)}
+    upper = np.triu_indices(len(columns))
+
+    def model(r: dict, order: tuple, gram: np.ndarray | None) -> dict:
+        own = lags[order, bool(r["seasonal"])]
+        row = {"building_id": r["building_id"], "p": order[0], "d": order[1], "q": order[2], "n": r["n"],
+               "mean": r["mean"], "last_y": r["last_y"], "last_time": r["last_time"]}
+        empty = {"method": LAST, "aic": None, "ar": [], "ma": [], "phi": [], "theta": [],
+                 "x_tail": [], "e_tail": []}
+        if gram is None:
+            return row | empty
+        chosen = [place[f"x{k}"] for k in own.ar] + [place[f"e{k}"] for k in own.ma]
+        try:
+            beta, aic = fit_from_sums(gram, chosen, r["rows"])
+        except np.linalg.LinAlgError:
+            return row | empty
+        if not np.isfinite(aic):
+            return row | empty
+        return row | {
+            "method": SEASONAL if r["seasonal"] and (p.seasonal[0] or p.seasonal[2]) else PLAIN,
+            "aic": float(aic), "ar": own.ar, "ma": own.ma, "phi": stable(beta[:len(own.ar)], own.ar),
+            "theta": beta[len(own.ar):], "x_tail": r["x_tail"], "e_tail": r["e_tail"],
+        }
+
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            models = []
+            for r in batch.to_pylist():
+                gram = None
+                if r["products"] is not None:
+                    gram = np.zeros((len(columns), len(columns)))
+                    gram[upper] = [v or 0.0 for v in r["products"]]
+                    gram = gram + np.triu(gram, 1).T
+                models += [model(r, o, gram) for o in orders if o[1] == r["d"]]
+            yield pa.RecordBatch.from_pylist(models, schema=_ARROW_MODEL)
+
+    return run
+
+
+_FLOATS, _INTS = pa.list_(pa.float64()), pa.list_(pa.int32())
+_ARROW_MODEL = pa.schema([
+    ("building_id", pa.int64()), ("p", pa.int32()), ("d", pa.int32()), ("q", pa.int32()),
+    ("method", pa.string()), ("n", pa.int64()), ("mean", pa.float64()), ("aic", pa.float64()),
+    ("ar", _INTS), ("ma", _INTS), ("phi", _FLOATS), ("theta", _FLOATS), ("x_tail", _FLOATS),
+    ("e_tail", _FLOATS), ("last_y", pa.float64()), ("last_time", pa.timestamp("us")),
+])
+
+
+def fit_orders(
+    train: DataFrame, p: SeasonalParams = SeasonalParams(), orders: list[tuple] = ORDER_GRID,
     target: str = TARGET,
 ) -> DataFrame:
-    """AIC of every order of the grid per building; failed fits are skipped.
+    """One model per building and order: coefficients, AIC and what a forecast goes on from.
 
-    A building's bounded series is shipped once and fitted with all orders.
+    All orders are fitted on the same rows of a series, so their AIC compare. ``method`` says
+    what could be fitted: a series under three seasons has no seasonal terms, and one that is
+    shorter than its lags has the last value for a model and no AIC.
     """
+    orders = [tuple(o) for o in orders]
+    if any(o[1] not in (0, 1) for o in orders):
+        raise ValueError("series are differenced once at most")
+    lags = Lags.of(orders, p, True)
+    longest = lags.reach + 2
+    grid = settle(hourly_history(train, p.history, target))
+    degrees = sorted({o[1] for o in orders})
+    sizes = settle(_sizes(grid, orders, p, degrees))
+    lagged = _with_lags(settle(_centred(grid, sizes, degrees)), "x", range(1, longest + 1))
+    shocked = _shocks(lagged, longest).select(
+        *SERIES, "timestamp", "t", "n", "start", "x", "e", *(f"x{k}" for k in lags.ar)
+    )
+    columns = ["x", *(f"x{k}" for k in lags.ar), *(f"e{k}" for k in lags.ma)]
+    pairs = [(a, b) for k, a in enumerate(columns) for b in columns[k:]]
+    begun, end = F.col("t") >= F.col("start"), F.col("t") >= F.col("n") - lags.reach
+    sums = _with_lags(shocked, "e", lags.ma).groupBy(*SERIES).agg(
+        F.count_if(begun).alias("rows"), _sums(begun, pairs).alias("products"),
+        _values(end, "x").alias("x_tail"), _values(end, "e").alias("e_tail"),
+    )
+    return settle(sizes.join(sums, SERIES, "left").select(
+        *SERIES, "n", "mean", "seasonal", "last_y", "last_time", "rows", "products", "x_tail", "e_tail"
+    ).mapInArrow(_order_fits(orders, p, columns), MODEL))
 
-    def score(key: tuple, pdf: pd.DataFrame) -> pd.DataFrame:
-        series = _regular(pdf, p.history, target).to_numpy()
-        rows = []
-        for order in grid:
-            try:
-                model = fit_arma(series, order, p.seasonal, p.season)
-            except np.linalg.LinAlgError:
-                continue
-            if model is not None and np.isfinite(model["aic"]):
-                rows.append((key[0], *order, float(model["aic"])))
-        return pd.DataFrame(rows, columns=["building_id", "p", "d", "q", "aic"])
 
-    return (
-        recent_hours(train, p.history, target)
-        .groupBy("building_id")
-        .applyInPandas(score, "building_id long, p int, d int, q int, aic double")
+def best_models(models: DataFrame) -> DataFrame:
+    """The model with the lowest AIC of each building; the last value where none could be fitted."""
+    every = F.struct(*models.columns)
+    worse = F.struct(F.col("aic").isNull(), "aic", "p", "d", "q")
+    return models.groupBy("building_id").agg(F.min_by(every, worse).alias("m")).select("m.*")
+
+
+def save_models(models: DataFrame, path: str) -> None:
+    models.write.mode("overwrite").parquet(path)
+
+
+def load_models(spark: SparkSession, path: str) -> DataFrame:
+    return spark.read.schema(MODEL).parquet(path)
+
+
+def _forecasts(horizon: int):
+    def run(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            out = []
+            for r in batch.to_pylist():
+                if r["method"] == LAST:
+                    out.append(np.full(horizon, r["last_y"]))
+                    continue
+                x, e, phi, theta = (np.array(r[c], float) for c in ("x_tail", "e_tail", "phi", "theta"))
+                future = go_on(x, e, phi, r["ar"], theta, r["ma"], horizon) + r["mean"]
+                out.append(r["last_y"] + np.cumsum(future) if r["d"] else future)
+            values = [np.maximum(v, 0.0) for v in out]
+            yield pa.RecordBatch.from_arrays(
+                [*(batch.column(c) for c in ("building_id", "p", "d", "q", "method", "last_time")),
+                 pa.array(values, pa.list_(pa.float64()))],
+                names=["building_id", "p", "d", "q", "method", "last_time", "values"],
+            )
+
+    return run
+
+
+def forecast_from(models: DataFrame, horizon: int = WEEK) -> DataFrame:
+    """(building_id, p, d, q, method, step, timestamp, prediction) for the next ``horizon`` hours."""
+    values = models.mapInArrow(
+        _forecasts(horizon),
+        "building_id long, p int, d int, q int, method string, last_time timestamp_ntz, values array<double>",
+    )
+    return values.select("*", F.posexplode("values").alias("_place", "prediction")).select(
+        "building_id", "p", "d", "q", "method", (F.col("_place") + 1).alias("step"),
+        F.timestamp_add("HOUR", F.col("_place") + 1, "last_time").cast("timestamp_ntz").alias("timestamp"),
+        "prediction",
+    )
+
+
+def seasonal_forecast(
+    train: DataFrame, p: SeasonalParams = SeasonalParams(), target: str = TARGET
+) -> DataFrame:
+    """Forecasts of the next ``horizon`` hours (None: a week), of one order for all buildings
+    or (``order`` None) of the best of the grid for each."""
+    orders = ORDER_GRID if p.order is None else [p.order]
+    return forecast_from(best_models(fit_orders(train, p, orders, target)), p.horizon or WEEK)
+
+
+def order_scores(
+    train: DataFrame, p: SeasonalParams = SeasonalParams(), grid: list[tuple] = ORDER_GRID,
+    target: str = TARGET,
+) -> DataFrame:
+    """(building_id, p, d, q, aic) of every order that could be fitted."""
+    return fit_orders(train, p, grid, target).filter("aic is not null").select(
+        "building_id", "p", "d", "q", "aic"
     )
 
 
