@@ -3,9 +3,10 @@
 1. Every text becomes its set of word shingles, as 64-bit hashes, and one permutation
    of them fills ``BINS`` bins; empty bins borrow from the first filled one of a fixed
    random order of their own (optimal densification). Equal sets are one class.
-2. Classes that agree on all rows of a band share a bucket. A bucket proposes a star:
-   edges from two of its members, random per bucket, to all others, so the number of
-   pairs stays linear in the bucket.
+2. Classes that agree on all rows of a band share a bucket. A bucket proposes two stars:
+   edges from its first and its last member to all others, in one random order of all
+   classes, that of their names. So the pairs stay linear in the bucket, and a class meets
+   the same few centres in most of its buckets: its edges repeat and fall together.
 3. Edges whose signatures and sizes allow the threshold are confirmed on full sets, and
    confirmed edges are joined to components.
 4. A star may miss a link between two outer members. Buckets of four or more classes in
@@ -275,14 +276,10 @@ def near_duplicates(
         F.first("buckets").alias("buckets"), F.first("marks").alias("marks"),
     ))
     members = nodes.select("node", F.explode("buckets").alias("bucket"))
-    # Two members that are random for the bucket, as plain minima and maxima.
-    turned = F.col("node").bitwiseXOR(F.col("bucket"))
     shared = settle(
         members.groupBy("bucket").agg(
-            F.min(turned).alias("low"), F.max(turned).alias("high"), F.count("*").alias("size")
+            F.min("node").alias("first"), F.max("node").alias("last"), F.count("*").alias("size")
         ).filter("size > 1")
-        .select("bucket", "size", F.col("low").bitwiseXOR(F.col("bucket")).alias("first"),
-                F.col("high").bitwiseXOR(F.col("bucket")).alias("last"))
     )
     placed = settle(members.join(shared, "bucket"))
     star = placed.select("node", F.explode(F.array("first", "last")).alias("center")) \
