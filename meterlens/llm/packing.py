@@ -130,7 +130,7 @@ def _pieces(tokenizer_path: str, capacity: int, end_id: int, keep_ids: bool):
                     held += len(cut)
                     for column, value in zip(out, row):
                         column.append(value)
-                if held > 4_000_000:
+                if held > 500_000:
                     yield _batch(out)
                     out, held = [[] for _ in range(8)], 0
             yield _batch(out)
