@@ -3,10 +3,14 @@
 The tokenizer lower-cases, composes characters (NFC) and cuts at white space and
 between letters, digits and other signs before it looks at words, so the ids of a
 text are those of its pieces between ASCII white space in order, and a piece seen
-before need not be encoded again. An ASCII piece without apostrophe (which may take
-letters with it) and without a special token is made of its words, digits and signs,
-which are remembered too; all others are encoded as they stand. Pieces over
-``PIECE_BYTES`` are not remembered.
+before need not be encoded again. A piece of ASCII signs, digits and letters of
+the Latin and Cyrillic blocks that have one composed and one lower-case form, without
+apostrophe (which may take letters with it) and without a special token, is made of its
+words, digits and signs, which are remembered too; all others are encoded as they stand.
+Pieces over ``PIECE_BYTES`` are not remembered, and memories over ``CACHE_BYTES`` start anew.
+
+Defined cases: a null or empty text has no ids; white space alone has none; any other
+text has the ids that the tokenizers library gives for it, without special tokens.
 """
 
 from __future__ import annotations
@@ -17,11 +21,20 @@ import re
 import numpy as np
 
 PIECE_BYTES = 48
-# Pieces, and words in them, that a worker remembers before it starts anew: 200 MB at most.
-CACHE_PIECES = 500_000
-CACHE_WORDS = 600_000
-PARTS = re.compile(rb"[a-z]+|[0-9]|[^a-z0-9]+")
-WORD = re.compile(rb"[a-z]+")
+# Bytes of pieces, and of words in them, that a worker remembers.
+CACHE_BYTES = 48 << 20
+ENTRY = 190  # of two short byte strings and their place in a dictionary
+LETTERS = "a-z\u00df-\u00f6\u00f8-\u012f\u0131-\u0148\u014a-\u017e\u0430-\u045f"
+PARTS = re.compile(f"[{LETTERS}]+|[0-9]|[^0-9{LETTERS}]+")
+PLAIN = re.compile(f"[\x00-\x26\x28-\x7f\u00c0-\u00d6\u00d8-\u00de\u0410-\u042f\u0400-\u040f{LETTERS}]+")
+
+
+def _byte_names() -> list[str]:
+    """Signs that byte-level vocabularies write for the 256 bytes."""
+    shown = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = iter(range(256, 512))
+    return [chr(b) if b in shown else chr(next(others)) for b in range(256)]
+
 
 _ENCODERS: dict[str, "Encoder"] = {}
 
@@ -31,7 +44,8 @@ class Encoder(dict):
 
     def __init__(self, path: str):
         super().__init__()
-        self.words: dict[bytes, bytes] = {}
+        self.words: dict[str, bytes] = {}
+        self.held = self.held_words = 0
         os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from tokenizers import Tokenizer
 
@@ -39,30 +53,38 @@ class Encoder(dict):
         size = self.tokenizer.get_vocab_size(with_added_tokens=True)
         self.dtype = np.dtype("<u2" if size <= 1 << 16 else "<u4")
         self.size = size
+        self.bytes_of = [np.array(k, self.dtype).tobytes() for k in range(size)]
+        self.named = dict(enumerate(_byte_names()))
 
     def __missing__(self, piece: bytes) -> bytes:
         if len(piece) > PIECE_BYTES:
             return self._whole(piece)
-        if len(self) >= CACHE_PIECES:
+        lower = piece.decode().lower()
+        known = self.words.get(lower)
+        if known is None:
+            if lower.isascii() and lower.isalpha():
+                known = self._word(lower)
+            elif b"<|" not in piece and PLAIN.fullmatch(piece.decode()):
+                known = b"".join([self.words.get(p) or self._word(p) for p in PARTS.findall(lower)])
+            else:
+                known = self._whole(piece)
+        self.held += ENTRY + len(piece) + len(known)
+        if self.held > CACHE_BYTES:
             self.clear()
-        lower = piece.lower()
-        if lower.isalpha():  # ASCII letters alone
-            ids = self.words.get(lower) or self._word(lower)
-        elif piece.isascii() and b"'" not in piece and b"<|" not in piece:
-            ids = b"".join([self.words.get(p) or self._word(p) for p in PARTS.findall(lower)])
+            self.held = 0
+        self[piece] = known
+        return known
+
+    def _word(self, word: str) -> bytes:
+        if word[0].isalpha():  # letters alone, lower case
+            named = word if word.isascii() else word.encode().decode("latin-1").translate(self.named)
+            ids = b"".join([self.bytes_of[t.id] for t in self.tokenizer.model.tokenize(named)])
         else:
-            ids = self.words.get(piece) or self._word(piece)
-        self[piece] = ids
-        return ids
-
-    def _word(self, word: bytes) -> bytes:
-        if len(self.words) >= CACHE_WORDS:
+            ids = self._whole(word.encode())
+        self.held_words += ENTRY + len(word) + len(ids)
+        if self.held_words > CACHE_BYTES:
             self.words.clear()
-        if WORD.fullmatch(word):
-            found = self.tokenizer.model.tokenize(word.decode())
-            ids = np.array([t.id for t in found], self.dtype).tobytes()
-        else:
-            ids = self._whole(word)
+            self.held_words = 0
         self.words[word] = ids
         return ids
 

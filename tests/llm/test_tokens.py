@@ -125,3 +125,23 @@ def test_token_file_of_nothing(spark, nothing):
     path = tokenfile.token_folder(spark)
     tokenfile.write_tokens(nothing, path, PATH)
     assert tokenfile.read_tokens(spark, path).collect() == []
+
+
+def test_every_character_of_the_plain_blocks(tokenizer):
+    """Alone, doubled and inside words, characters get the ids of the library."""
+    from meterlens.llm.tokens import Encoder
+
+    encode = Encoder(PATH).encode
+    for c in map(chr, [*range(1, 0x250), *range(0x3F0, 0x480), 0x1E9E, 0xFB00, 0x301]):
+        for text in (c, f"a{c}b", c * 2, f"Z{c}", f"{c}1.{c}"):
+            assert encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids, repr(text)
+
+
+def test_small_memories_change_nothing(tokenizer, monkeypatch):
+    from meterlens.llm import tokens
+
+    monkeypatch.setattr(tokens, "CACHE_BYTES", 2000)
+    encoder = tokens.Encoder(PATH)
+    text = "Größe café naïve Слово и 3 more-words, again. " * 5 + " ".join(f"wort{k}é" for k in range(200))
+    assert encoder.encode(text).tolist() == tokenizer.encode(text, add_special_tokens=False).ids
+    assert encoder.held <= 2000 and encoder.held_words <= 2000
