@@ -4,22 +4,28 @@ the numbers of trees are parameters, the rows are always the whole table."""
 
 from __future__ import annotations
 
+import uuid
+
 from pyspark.sql import functions as F
 
 from meterlens.catalog.base import Query, lodging_rooms, rounded, selected, sql
 from meterlens.catalog.base import located as located_readings
-from meterlens.config import AnomalyParams, ForestParams, SeasonalParams, TreeParams
+from meterlens.config import (
+    AnomalyParams, BoostParams, ForestParams, SeasonalParams, TreeParams,
+)
 from meterlens.functions.calendar import add_time_features
 from meterlens.operators import blend, filters
 from meterlens.operators.isolation import detect_isolation
 from meterlens.operators.ranks import chronological_split
 from meterlens.operators.reconstruction import detect_reconstruction
 from meterlens.operators.scores import comparison_report, model_metrics, stack_results
-from meterlens.plans import forecast, models
+from meterlens.operators.windows import add_history_features
+from meterlens.plans import boosting, forecast, models
 from meterlens.plans.detection import detect_anomalies
 from meterlens.plans.features import feature_columns, run_pipeline
 from meterlens.plans.load import run_load_plans
-from meterlens.session import settle
+from meterlens.plans.registry import Registry, rescore_all
+from meterlens.session import settle, shared_folder
 from meterlens.sources import tables
 from meterlens.sources.readers import stack
 from meterlens.sources.sinks import hour_map
@@ -28,6 +34,9 @@ FEW_TREES = TreeParams(trees=8, depth=4)
 DEEPER = TreeParams(trees=4, depth=6)
 SMALL_FOREST = ForestParams(trees=16, depth=6)
 FEW_ISOLATION = AnomalyParams(trees=50)
+LEAFWISE = BoostParams()
+PENALISED = BoostParams(depth=8, leaves=None, min_rows=1)
+SAVED_TREES = BoostParams(trees=10, early_stop=0, leaves=15)
 
 
 def _matrix(s, d):
@@ -93,9 +102,38 @@ def _ablation(s, d):
     return models.ablation(matrix, features, lambda: models.boosted_trees(TreeParams(4, 3)))
 
 
+def _site_matrix(s, d):
+    """Hours of whole sites with time, lag and rolling features: histories of more than a week."""
+    sites = located_readings(s, d).groupBy(F.col("site_id").cast("long").alias("building_id"), "timestamp").agg(
+        F.round(F.sum("meter_reading"), 6).alias("meter_reading"))
+    matrix = settle(chronological_split(add_history_features(add_time_features(settle(sites)))))
+    return matrix, feature_columns(matrix)
+
+
 def _residual(s, d):
+    matrix, features = _site_matrix(s, d)
+    return models.residual_model(matrix, features, models.boosted_trees(FEW_TREES))
+
+
+def _boost(s, d, p):
+    """Predictions of boosted trees with penalties, by way of their table."""
     matrix, features = _matrix(s, d)
-    return models.residual_model(matrix, features, models.boosted_trees(FEW_TREES), lookback=24)
+    model = boosting.fit_boosted(matrix, features, p)
+    return boosting.predict_boosted(settle(model.table(s)), matrix.filter("is_val"))
+
+
+def _rescored(s, d):
+    """Three saved models and their ensembles, scored from the registry."""
+    matrix = settle(chronological_split(add_time_features(tables.electricity(s, d))))
+    train, val = models.parts(matrix)
+    features = ["hour", "day_of_week", "month", "is_weekend"]
+    registry = Registry(s, f"{shared_folder(s).rstrip('/')}/meterlens-registry-{uuid.uuid4().hex}")
+    registry.publish([
+        registry.save_pipeline("linear", models.fit_tabular(matrix, features, models.ridge()), features),
+        registry.save_trees("trees", boosting.fit_boosted(matrix, features, SAVED_TREES)),
+        registry.save_seasonal("seasonal", forecast.fit_orders(train, orders=[SeasonalParams().order])),
+    ])
+    return rescore_all(registry, val)
 
 
 def _forecast_metrics(s, d):
@@ -179,7 +217,10 @@ LEARNING = {
         lambda s, d: models.standardised_regression(*_matrix(s, d))),
     "two_branch_regression": Query(lambda s, d: models.two_branch_regression(*_matrix(s, d))),
     "residual_model": Query(_residual),
-    "sequence_regression": Query(lambda s, d: models.sequence_regression(_matrix(s, d)[0], 24)),
+    "sequence_regression": Query(lambda s, d: models.sequence_regression(_site_matrix(s, d)[0])),
+    "leafwise_trees": Query(lambda s, d: _boost(s, d, LEAFWISE)),
+    "penalised_trees": Query(lambda s, d: _boost(s, d, PENALISED)),
+    "rescore_all": Query(_rescored),
     "feature_ablation": Query(_ablation),
     "training_suite": Query(_suite),
     "isolation_forest": Query(

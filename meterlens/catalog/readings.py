@@ -11,7 +11,9 @@ from meterlens.operators import filters, profiles, scores
 from meterlens.operators.fills import fill_weather, hourly_grid
 from meterlens.operators.joins import enrich
 from meterlens.operators.ranks import chronological_split, contiguous_folds
-from meterlens.operators.windows import add_history_features, add_sequences
+from meterlens.operators.windows import (
+    add_history_features, add_sequence_statistics, add_sequences,
+)
 from meterlens.plans.features import add_log_target, feature_matrix, filled_buildings, run_pipeline
 from meterlens.plans.load import savings_calculator
 from meterlens.sources import tables
@@ -101,11 +103,20 @@ def _lookback(spark, d):
     return _sequences(add_sequences(selected(spark, d), lookback=24))
 
 
-def _site_lookback(spark, d):
-    sites = located(spark, d).groupBy("site_id", "timestamp").agg(
+def _sites(spark, d):
+    """Hourly sums per site, with the site as building: histories long enough for a week."""
+    return located(spark, d).groupBy("site_id", "timestamp").agg(
         F.round(F.sum("meter_reading"), 6).alias("meter_reading")
     ).withColumnRenamed("site_id", "building_id")
-    return _sequences(add_sequences(sites, lookback=168)).withColumnRenamed("building_id", "site_id")
+
+
+def _site_lookback(spark, d):
+    return _sequences(add_sequences(_sites(spark, d), lookback=168)).withColumnRenamed("building_id", "site_id")
+
+
+def _site_statistics(spark, d, **splitting):
+    found = add_sequence_statistics(_sites(spark, d), **splitting)
+    return rounded(found.withColumnRenamed("building_id", "site_id").drop("meter_reading"), 6)
 
 
 def _val_sequences(spark, d):
@@ -164,6 +175,15 @@ HOURLY_SQL = """
 SEQ_SQL = """select building_id, timestamp, meter_reading, cast(len(s) as integer) as n,
   round(list_sum(s), 6) as seq_sum, s[1] as seq_first, s[-1] as seq_last"""
 
+SITE_STATISTICS_SQL = """select site_id, timestamp, round(list_avg(s), 6) as seq_mean,
+    round(list_min(s), 6) as seq_min, round(list_max(s), 6) as seq_max, round(s[168], 6) as seq_last,
+    round((list_sum(list_transform(s, lambda x, i: x * (i - 1))) - 83.5 * list_sum(s))
+      / (168 * (168 * 168 - 1) / 12.0), 6) as seq_slope
+  from (select *, list(meter_reading) over
+      (partition by site_id order by timestamp rows between 168 preceding and 1 preceding) as s
+    from (select site_id, timestamp, round(sum(meter_reading), 6) as meter_reading
+      from located group by 1, 2) y) x where len(s) = 168"""
+
 READINGS = {
     "hourly_profile": Query(
         lambda s, d: rounded(profiles.hourly_profile(selected(s, d))),
@@ -273,6 +293,10 @@ READINGS = {
             as s from (select site_id, timestamp, round(sum(meter_reading), 6) as meter_reading
               from located group by 1, 2) y) x where len(s) = 168""", "located"),
     ),
+    "sequence_statistics": Query(_site_statistics, sql(SITE_STATISTICS_SQL, "located")),
+    "sequence_statistics_split": Query(
+        lambda s, d: _site_statistics(s, d, split_above=60, small_bytes=0),
+        sql(SITE_STATISTICS_SQL, "located")),
     "validation_sequences": Query(
         _val_sequences,
         sql(f"""{SEQ_SQL} from (select *, list(meter_reading) over {W24} as s from split) x

@@ -15,19 +15,18 @@ from meterlens.operators.ranks import chronological_split
 from meterlens.plans.load import stagger_profile, stagger_summary
 from meterlens.session import shared_folder
 from meterlens.sources import readers, sinks, tables
-from meterlens.sources.schemas import READINGS
+from meterlens.sources.schemas import BUILDINGS, READINGS, WEATHER
 
 
 def _new(spark) -> str:
     return f"{shared_folder(spark).rstrip('/')}/meterlens-{uuid.uuid4().hex}"
 
 
-def _csv(spark, d):
-    """Readings as CSV with their columns turned round, read by header name."""
+def _csv(spark, table, read, names):
+    """A table as CSV with its columns turned round, read by header name."""
     path = _new(spark)
-    table = tables.readings(spark, d)
     table.select(*reversed(table.columns)).write.option("header", True).csv(path)
-    return readers.read_readings(spark, path).select(*READINGS.names)
+    return read(spark, path).select(*names)
 
 
 def _split(spark, d):
@@ -59,6 +58,14 @@ def _metrics(spark, d):
     return sinks.registered_metrics(loaded, ["lag1", "roll24"])
 
 
+def _report(spark, d):
+    """The leaderboard of a comparison report, as its JSON document tells it."""
+    folder = _new(spark)
+    sinks.write_report(scores.comparison_report(scores.model_metrics(tables.predictions(spark, d))), folder)
+    entry = "rank: int, model: string, r2: double, rmse: double, mae: double, mape: double"
+    return spark.read.schema(f"leaderboard array<struct<{entry}>>").json(folder).select(F.inline("leaderboard"))
+
+
 def _predictions(spark, d):
     folder = _new(spark)
     sinks.write_predictions(scores.finite_pairs(tables.predictions(spark, d)), folder)
@@ -102,7 +109,18 @@ def _holiday_orders(spark, d):
 
 
 ROUNDTRIPS = {
-    "csv_roundtrip": Query(_csv, sql("select * from readings", "readings")),
+    "csv_roundtrip": Query(
+        lambda s, d: _csv(s, tables.readings(s, d), readers.read_readings, READINGS.names),
+        sql("select * from readings", "readings")),
+    "buildings_csv_roundtrip": Query(
+        lambda s, d: _csv(s, tables.buildings(s, d), readers.read_buildings, BUILDINGS.names),
+        sql("select * from buildings", "buildings")),
+    "weather_csv_roundtrip": Query(
+        lambda s, d: _csv(s, tables.weather(s, d), readers.read_weather, WEATHER.names),
+        sql("select * from weather", "weather")),
+    "report_roundtrip": Query(_report, sql("""select cast(row_number() over
+          (order by r2 desc nulls last, model) as integer) as rank, model, r2, rmse, mae, mape
+          from metrics""", "metrics")),
     "split_roundtrip": Query(
         _split, sql("select building_id, timestamp, meter_reading, is_val from split", "split")),
     "load_or_build": Query(

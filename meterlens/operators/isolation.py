@@ -6,7 +6,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from meterlens.config import AnomalyParams
@@ -15,7 +15,7 @@ from meterlens.session import is_small, settle
 
 NODE_SCHEMA = "tree int, node int, feature int, threshold double, depth double"
 OVERSAMPLE = 2
-HASH_RANGE = 1 << 30
+HASH_BITS, FINE_BITS = 30, 20
 
 
 def average_path(n: int) -> float:
@@ -27,33 +27,30 @@ def average_path(n: int) -> float:
     return 2.0 * (np.log(n - 1.0) + np.euler_gamma) - 2.0 * (n - 1.0) / n
 
 
+def _spread(hashed: Column) -> Column:
+    """A whole number below 2 ** (HASH_BITS + FINE_BITS) from a hash."""
+    fine = F.pmod(F.shiftright(hashed, HASH_BITS), F.lit(1 << FINE_BITS))
+    return F.pmod(hashed, F.lit(1 << HASH_BITS)) * (1 << FINE_BITS) + fine
+
+
 def tree_samples(df: DataFrame, keys: list[str], features: list[str], p: AnomalyParams) -> DataFrame:
-    """(tree, features): up to ``sample_size`` rows for every tree.
+    """(tree, features): for every tree the ``sample_size`` rows of the least hashes.
 
-    Each row joins a tree when its hash falls below a threshold, so about twice
-    the needed rows are kept, whatever the size of the input; the lowest hashes
-    per tree are then taken. Large inputs draw one tree per kept row.
+    A hash of row and tree decides, at every size alike. Only rows whose hash lies below
+    twice the share that is needed are looked at, and Spark keeps the least of each tree in
+    every task before they travel, so neither the table's size nor a key that many rows
+    share makes a sample grow.
     """
-    rows = df.count()
-    wanted = p.trees * p.sample_size * OVERSAMPLE
+    share = min(1.0, p.sample_size * OVERSAMPLE / max(df.count(), 1))
+    limit = int(share * (1 << (HASH_BITS + FINE_BITS)))
     slot = F.xxhash64(F.lit(p.seed), *keys)
-    if rows > wanted:
-        chosen = df.filter(F.pmod(slot, F.lit(HASH_RANGE)) < int(HASH_RANGE * wanted / rows))
-        drawn = chosen.select(
-            *features,
-            F.pmod(F.xxhash64(F.lit(p.seed + 1), *keys), F.lit(p.trees)).cast("int").alias("tree"),
-            F.xxhash64(F.lit(p.seed + 2), *keys).alias("_order"),
-        )
-    else:
-        share = min(1.0, p.sample_size * OVERSAMPLE / max(rows, 1))
-        limit = int(HASH_RANGE * share)
-        trees = F.filter(
-            F.sequence(F.lit(0), F.lit(p.trees - 1)),
-            lambda t: F.pmod(F.xxhash64(slot, t), F.lit(HASH_RANGE)) < limit,
-        )
-        drawn = df.select(*features, slot.alias("_slot"), F.explode(trees).alias("tree")).select(
-            *features, "tree", F.xxhash64("_slot", F.col("tree") + p.trees).alias("_order")
-        )
+    trees = F.filter(
+        F.sequence(F.lit(0), F.lit(p.trees - 1)),
+        lambda t: _spread(F.xxhash64(slot, t)) < limit,
+    )
+    drawn = df.select(*features, slot.alias("_slot"), F.explode(trees).alias("tree")).select(
+        *features, "tree", F.xxhash64("_slot", F.col("tree") + p.trees).alias("_order")
+    )
     w = Window.partitionBy("tree").orderBy("_order", *features)
     return (
         drawn.withColumn("_rank", F.row_number().over(w))

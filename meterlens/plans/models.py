@@ -8,7 +8,7 @@ from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
 from pyspark.ml.regression import GBTRegressor, LinearRegression, RandomForestRegressor
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlens.config import ABLATION_GROUPS, LOOKBACK, TARGET, ForestParams, TreeParams
@@ -16,7 +16,7 @@ from meterlens.functions.scalars import clamp, corrected, unstandardise
 from meterlens.operators.blend import weighted_ensemble
 from meterlens.operators.filters import with_history
 from meterlens.operators.scores import add_standardised, fit_scaler, model_metrics, stack_results
-from meterlens.operators.windows import add_sequences
+from meterlens.operators.windows import STATISTICS, add_sequence_statistics, add_sequences
 from meterlens.plans.features import feature_branches, without_group
 from meterlens.session import settle
 from meterlens.sources.readers import require_rows
@@ -145,36 +145,15 @@ def residual_model(
     )
 
 
-def sequence_stats(sequence: str = "sequence") -> dict[str, Column]:
-    """Mean, minimum, maximum, last value and slope of a sequence column."""
-    size = F.size(sequence)
-    total = F.aggregate(sequence, F.lit(0.0), lambda a, b: a + b)
-    moment = F.aggregate(
-        F.transform(sequence, lambda x, i: x * i), F.lit(0.0), lambda a, b: a + b
-    )
-    centre = (size - 1) / 2
-    spread = size * (size * size - 1) / 12
-    return {
-        "seq_mean": total / size,
-        "seq_min": F.array_min(sequence),
-        "seq_max": F.array_max(sequence),
-        "seq_last": F.element_at(sequence, -1),
-        "seq_slope": (moment - centre * total) / spread,
-    }
-
-
 def sequence_regression(matrix: DataFrame, lookback: int = LOOKBACK, target: str = TARGET) -> DataFrame:
     """Ridge on pooled statistics of the previous ``lookback`` rows."""
     enough = with_history(
         matrix.filter(~F.col("is_val")), ["building_id"], lookback
     ).select("building_id").distinct()
-    rows = add_sequences(matrix.select(*KEYS, "is_val", target), channels=[target], lookback=lookback)
-    rows = rows.join(enough, "building_id", "left_semi")
-    pooled = rows.select(
-        *KEYS, "is_val", target, *[c.alias(n) for n, c in sequence_stats().items()]
-    )
+    rows = add_sequence_statistics(matrix.select(*KEYS, "is_val", target), target=target, lookback=lookback)
+    pooled = rows.join(enough, "building_id", "left_semi")
     require_rows(pooled.filter(~F.col("is_val")), f"training rows with {lookback} rows before them")
-    model = fit_tabular(pooled, list(sequence_stats()), ridge(target))
+    model = fit_tabular(pooled, list(STATISTICS), ridge(target))
     return predict(model, pooled.filter(F.col("is_val")), target)
 
 

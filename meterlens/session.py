@@ -82,3 +82,12 @@ def settle(df: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark).rstrip('/')}/meterlens-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.parquet(path)
+
+
+def discard(settled: DataFrame) -> None:
+    """Delete the files of a table that ``settle`` wrote and nothing reads any more."""
+    spark = settled.sparkSession
+    for path in {p.rsplit("/", 1)[0] for p in settled.inputFiles()}:
+        folder = spark._jvm.org.apache.hadoop.fs.Path(path)
+        if folder.getName().startswith("meterlens-"):
+            folder.getFileSystem(spark._jsc.hadoopConfiguration()).delete(folder, True)

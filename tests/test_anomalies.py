@@ -92,3 +92,26 @@ def test_chain_returns_all_columns(spiky):
         assert column in found.columns
     assert found.filter("meter_reading = 5000").first()["severity"] == "High"
     assert found.count() == spiky.count()
+
+
+def test_samples_are_the_least_hashes_at_every_size(spark):
+    """One scheme: a tree's rows are those of the least hashes, however the table is cut."""
+    p = AnomalyParams(trees=7, sample_size=16)
+    for n in (10, 40, 3000):
+        table = spark.range(n).select("id", (F.col("id") * 1.5).alias("x"))
+        got = {}
+        for parts in (1, 6):
+            sample = tree_samples(table.repartition(parts), ["id"], ["x"], p)
+            got[parts] = sorted(map(tuple, sample.collect()))
+        assert got[1] == got[6]
+        per = [sum(t == k for t, _ in got[1]) for k in range(7)]
+        assert per == [min(n, 16)] * 7
+        assert n < 100 or len({x for _, x in got[1]}) > 80  # trees draw apart from each other
+
+
+def test_one_key_with_many_rows_is_bounded(spark):
+    """Rows that repeat a key share their hash; a task keeps no more than a tree needs."""
+    p = AnomalyParams(trees=3, sample_size=8)
+    table = spark.range(4000).select(F.lit(1).alias("id"), F.col("id").cast("double").alias("x"))
+    sample = tree_samples(table.repartition(4), ["id"], ["x"], p)
+    assert sample.groupBy("tree").count().filter("count > 8").isEmpty()

@@ -14,6 +14,7 @@ SLOW = {
     "learned_ensemble", "boosted_trees", "boosted_trees_early_stop", "boosted_trees_deep",
     "random_forest", "feature_importance", "two_branch_regression", "feature_ablation",
     "training_suite", "residual_model", "standardised_regression", "sequence_regression",
+    "leafwise_trees", "penalised_trees",
 }
 
 

@@ -79,13 +79,6 @@ def test_residual_model_corrects_a_repeating_error(matrix):
     assert _r2(fixed) > _r2(base)
 
 
-def test_sequence_statistics(spark):
-    table = spark.createDataFrame([([1.0, 2.0, 4.0, 3.0],)], "sequence array<double>")
-    row = table.select(*[c.alias(n) for n, c in models.sequence_stats().items()]).first()
-    assert row[:4] == (2.5, 1.0, 4.0, 3.0)
-    assert row["seq_slope"] == pytest.approx(np.polyfit(range(4), [1, 2, 4, 3], 1)[0])
-
-
 def test_sequence_regression_covers_validation(matrix):
     assert models.sequence_regression(matrix, 24).count() == matrix.filter("is_val").count()
     with pytest.raises(ValueError):

@@ -2,7 +2,7 @@ import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
-from meterlens.operators.ranks import chronological_split, contiguous_folds, exact_quantiles
+from meterlens.operators.ranks import chronological_split, contiguous_folds, exact_quantiles, grouped_quantiles
 
 
 @pytest.fixture(params=[{}, {"small_bytes": 0}], ids=["plain", "spread"])
@@ -78,3 +78,49 @@ def test_searched_quantiles_are_exact(spark):
         assert got == pytest.approx(np.quantile(values, q), rel=1e-12)
     none = df.filter("v is null")
     assert none.select(exact_quantiles(none, ["v"], 0.5, small_bytes=0)["v"]).first()[0] is None
+
+
+def _odd(spark):
+    nan, inf = float("nan"), float("inf")
+    values = [1.0, 2.0, 3.0, 4.0, nan, inf, -inf, 0.0, -0.0, -1.5, 1e-300, -1e300, None, 2.0, 2.0, nan]
+    random = np.random.default_rng(8)
+    rows = [(k, v, float(n)) for k in ("a", "b", None) for n, v in enumerate(values)]
+    rows += [("hot", float(v), float(v) ** 3) for v in random.normal(size=2000)]
+    rows += [("nan", nan, None), ("none", None, None), ("one", 7.0, 1.0)]
+    return spark.createDataFrame(rows, "k string, x double, y double").repartition(5)
+
+
+@pytest.mark.parametrize("q", [0.25, 0.95])
+def test_grouped_quantiles_are_those_of_percentile(spark, q):
+    """NaN above all, infinities, NULL keys, groups without values, one hot group."""
+    table = _odd(spark)
+    got = grouped_quantiles(table, ["k"], ["x", "y"], q)
+    table = table.withColumns({c: F.col(c) + F.lit(0.0) for c in "xy"})  # -0.0 is printed apart
+    want = table.groupBy("k").agg(*[F.percentile(c, F.lit(q)).alias(c) for c in "xy"])
+    assert sorted(map(str, got.collect())) == sorted(map(str, want.collect()))
+    whole = table.agg(*[F.percentile(c, F.lit(q)).alias(c) for c in "xy"])
+    assert str(grouped_quantiles(table, [], ["x", "y"], q).first()) == str(whole.first())
+
+
+def test_nan_counts_as_a_value(spark, sizing):
+    table = spark.createDataFrame([(v,) for v in (1.0, 2.0, 3.0, 4.0, float("nan"))], "x double")
+    got = spark.range(1).select(exact_quantiles(table, ["x"], 0.5, **sizing)["x"]).first()[0]
+    assert got == 3.0
+
+
+def test_no_values(spark, sizing):
+    table = spark.createDataFrame([], "x double")
+    assert spark.range(1).select(exact_quantiles(table, ["x"], 0.5, **sizing)["x"]).first()[0] is None
+
+
+@pytest.mark.parametrize("small_bytes", [-1, 1 << 30])
+def test_split_with_ids_of_any_type(spark, small_bytes):
+    """String and date ids are ranked like numbers, in one crowded hour."""
+    crowd = spark.range(1000).select(
+        F.format_string("id%05d", "id").alias("s"), F.date_add(F.lit("2020-01-01"), F.col("id").cast("int")).alias("d"),
+        F.lit("2020-01-01").cast("timestamp_ntz").alias("timestamp"),
+    )
+    for key, first in (("s", "id00800"), ("d", None)):
+        split = chronological_split(crowd, key=key, small_bytes=small_bytes).filter("is_val")
+        low, n = split.agg(F.min(key), F.count("*")).first()
+        assert n == 200 and (first is None or low == first)
