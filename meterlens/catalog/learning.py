@@ -34,9 +34,9 @@ FEW_TREES = TreeParams(trees=8, depth=4)
 DEEPER = TreeParams(trees=4, depth=6)
 SMALL_FOREST = ForestParams(trees=16, depth=6)
 FEW_ISOLATION = AnomalyParams(trees=50)
-LEAFWISE = BoostParams()
-PENALISED = BoostParams(depth=8, leaves=None, min_rows=1)
-SAVED_TREES = BoostParams(trees=10, early_stop=0, leaves=15)
+LEAFWISE = BoostParams(trees=8, early_stop=0)
+PENALISED = BoostParams(trees=8, early_stop=0, depth=8, leaves=None, min_rows=1)
+SAVED_TREES = BoostParams(trees=4, early_stop=0, leaves=15)
 
 
 def _matrix(s, d):

@@ -32,6 +32,8 @@ from meterlens.functions.scalars import clamp
 from meterlens.session import discard, settle
 
 BINS = 255
+# Rows of a task, at least: a pass over few rows is all overhead.
+TASK_ROWS = 50_000
 # Trees that tasks add to the kept forecasts by themselves.
 REFRESH = 8
 
@@ -295,7 +297,7 @@ def fit_boosted(
     state = settle(known.select(
         F.xxhash64(*keys).alias("key"), F.col(target).cast("double").alias("y"), "is_val",
         *(F.col(f).cast("double").alias(f) for f in features),
-    ).mapInArrow(prepare, STATE))
+    ).coalesce(max(1, known.count() // TASK_ROWS)).mapInArrow(prepare, STATE))
 
     def columns_of(batch: pa.RecordBatch, newest: list[Tree]):
         bins = np.frombuffer(b"".join(batch.column("bins").to_pylist()), np.uint8).reshape(-1, width)
