@@ -4,6 +4,12 @@ All stages but the last return the columns of documents. Toxic documents go; of
 of near-duplicates (five-word shingles, similarity 0.8) one document stays; documents that
 hold a window of a benchmark item go; personal data are replaced in the texts of the rest,
 which are then packed into sequences.
+
+Defined cases, for every stage: a row is named by its id and text, so null ids and repeated
+ids are rows of their own; rows that repeat id and text are one document, of which near_duplicates
+keeps one row; a null or empty text has no n-grams (its score is that of the constant alone), is
+linked with nothing, holds no passage and no personal data, and is packed as its end id alone; an empty table gives an empty table. Further
+columns are passed on unchanged up to packing, whatever their names.
 """
 
 from __future__ import annotations
@@ -13,18 +19,21 @@ from pyspark.sql import functions as F
 
 from meterlens.catalog.base import Query
 from meterlens.llm import decontamination, neardup, packing, pii, toxicity
-from meterlens.llm.common import small_side, table
+from meterlens.llm.common import fresh, small_side, table
 from meterlens.llm.queries import TOKENIZER, pii_key
 from meterlens.session import settle
 
 
-def _known(docs: DataFrame) -> DataFrame:
-    """Rows named by id and text, since ids may be null or occur twice."""
-    return docs.withColumn("_id", F.struct("doc_id", F.md5(F.col("text").cast("binary")).alias("key")))
+def _known(docs: DataFrame) -> tuple[DataFrame, str]:
+    """Rows with a column that names them by id and text, and the name of that column."""
+    name = fresh(docs, "named")
+    key = F.md5(F.col("text").cast("binary")).alias("key")
+    return docs.withColumn(name, F.struct("doc_id", key)), name
 
 
-def _same(ids: DataFrame, docs: DataFrame):
-    return docs["_id.doc_id"].eqNullSafe(ids["id"]) & docs["_id.key"].eqNullSafe(ids["key"])
+def _same(known: DataFrame, name: str, ids: DataFrame):
+    named = known[name]
+    return named["doc_id"].eqNullSafe(ids["id"]) & named["key"].eqNullSafe(ids["key"])
 
 
 def _ids(rows: DataFrame) -> DataFrame:
@@ -38,21 +47,22 @@ def drop_toxic(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 def drop_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near-duplicates, and one of rows that repeat."""
-    known = _known(docs)
-    kept = _ids(neardup.near_duplicates(known.select("_id", "text"), id_column="_id").filter("kept"))
+    known, name = _known(docs)
+    groups = neardup.near_duplicates(known.select(name, "text"), id_column=name)
+    kept = _ids(groups.filter("kept"))
     return (
-        known.join(kept, _same(kept, known), "left_semi")
+        known.join(kept, _same(known, name, kept), "left_semi")
         .dropDuplicates(["doc_id", "text"]).select(*docs.columns)
     )
 
 
 def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents without a passage of the benchmark."""
-    known = _known(docs)
+    known, name = _known(docs)
     hit = _ids(decontamination.contamination(
-        known.select("_id", "text"), table(spark, sf_dir, "benchmark"), id_column="_id"
+        known.select(name, "text"), table(spark, sf_dir, "benchmark"), id_column=name
     ).filter("contaminated"))
-    return known.join(small_side(hit), _same(hit, known), "left_anti").select(*docs.columns)
+    return known.join(small_side(hit), _same(known, name, hit), "left_anti").select(*docs.columns)
 
 
 def replace_personal(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
