@@ -93,12 +93,12 @@ def shard_documents(
     )
     bases = part_bases(numbered.groupBy("part").agg(F.count("*").alias("n")), "part", "n")
     sizes = dict(numbered.groupBy("shard").count().collect())  # one row per shard
-    begins = {s: sum(sizes.get(k, 0) for k in range(s)) for s in range(shards)}
+    begins = np.cumsum([0, *(sizes.get(s, 0) for s in range(shards))])
+    part_base = np.array([bases.get(p, 0) for p in range(max(bases, default=0) + 1)], np.int64)
 
     def slots(batches: Iterable[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            part, shard = batch.column("part").to_pylist(), batch.column("shard").to_pylist()
-            base = np.array([bases[p] - begins[s] for p, s in zip(part, shard)], np.int64)
+            base = part_base[batch.column("part").to_numpy()] - begins[batch.column("shard").to_numpy()]
             yield pa.RecordBatch.from_arrays(
                 [batch.column(c) for c in ("doc_id", "size", "text_crc32", "shard", "grown_shard")]
                 + [pa.array(base + batch.column("nth").to_numpy())],
@@ -112,8 +112,13 @@ def shard_documents(
 
 
 def write_shards(docs: DataFrame, path: str, shards: int = 40, id_column: str = "doc_id") -> None:
-    """Write whole rows into one folder per shard (``shard=...``)."""
-    keyed = docs.withColumn("_key", F.coalesce(F.col(id_column).cast("long"), F.lit(0)))
+    """Write whole rows into one folder per shard (``shard=...``).
+
+    Null keys go where key 0 goes. A table with a column ``shard`` of its own is an error,
+    since the folders would hide it; other columns are written unchanged.
+    """
+    if "shard" in (c.lower() for c in docs.columns):
+        raise ValueError("the table has a column named shard, which the folders would replace")
 
     @F.pandas_udf("int")
     def shard_of(keys):
@@ -121,4 +126,5 @@ def write_shards(docs: DataFrame, path: str, shards: int = 40, id_column: str =
 
         return pd.Series(jump_hash(keys.to_numpy(), shards).astype(np.int32))
 
-    keyed.withColumn("shard", shard_of("_key")).drop("_key").write.partitionBy("shard").parquet(path)
+    key = F.coalesce(F.col(id_column).cast("long"), F.lit(0))
+    docs.withColumn("shard", shard_of(key)).write.partitionBy("shard").parquet(path)

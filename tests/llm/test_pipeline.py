@@ -1,10 +1,15 @@
 import random
 
+from pyspark.sql import functions as F
+
 import corpus_pipeline
 from tests.llm.conftest import COLUMNS
 from tests.llm.test_decontamination import brute as hits
 from tests.llm.test_neardup import brute as classes
 
+# Names that the stages might use for columns of their own.
+EXTRA = ["_id", "id", "named", "key", "kept", "contaminated", "component_id", "predicted", "row", "n"]
+
 
 def test_each_stage_against_brute_force(spark, tmp_path, monkeypatch):
     rng = random.Random(8)
@@ -25,7 +30,8 @@ def test_each_stage_against_brute_force(spark, tmp_path, monkeypatch):
         labels.append((i, 1, int("gudgex" in text)))
     docs += [(3, docs[3][1]), (500, None), (501, ""), (None, "some text of its own")]
     d = str(tmp_path)
-    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], COLUMNS).write.parquet(f"{d}/documents.parquet")
+    spark.createDataFrame([(i, t, "en", "s", len(t or "")) for i, t in docs], COLUMNS) \
+        .withColumns({c: F.lit(f"own {c}") for c in EXTRA}).write.parquet(f"{d}/documents.parquet")
     spark.createDataFrame(labels, "doc_id long, quality int, toxic int").write.parquet(f"{d}/labels.parquet")
     spark.createDataFrame([(1, item)], "item_id long, text string").write.parquet(f"{d}/benchmark.parquet")
 
@@ -36,6 +42,7 @@ def test_each_stage_against_brute_force(spark, tmp_path, monkeypatch):
         kept = spark.read.parquet(f"{d}/{k}")
         if name != "packing":
             assert kept.columns == columns
+            assert all({r[c] for r in kept.select(c).distinct().collect()} == {f"own {c}"} for c in EXTRA)
             out[name] = [(r.doc_id, r.text) for r in kept.collect()]
 
     clean = [x for x in docs if "gudgex" not in (x[1] or "")]

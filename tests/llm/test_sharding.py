@@ -2,8 +2,10 @@ import zlib
 from collections import Counter, defaultdict
 
 import numpy as np
+import pytest
 from hypothesis import given
 from hypothesis import strategies as st
+from pyspark.sql import functions as F
 
 from meterlens.llm.sharding import jump_hash, shard_documents, write_shards
 from tests.llm.conftest import EDGE
@@ -49,7 +51,10 @@ def test_shards_of_edge_cases(edge):
 
 def test_shards_of_nothing_and_written_shards(spark, nothing, edge, tmp_path):
     assert shard_documents(nothing).collect() == []
-    write_shards(edge.drop("shard"), str(tmp_path / "out"), 3)
+    with pytest.raises(ValueError, match="shard"):
+        write_shards(edge, str(tmp_path / "no"), 3)
+    write_shards(edge.drop("shard").withColumn("_key", F.lit("own")), str(tmp_path / "out"), 3)
     back = spark.read.parquet(str(tmp_path / "out"))
+    assert {r[0] for r in back.select("_key").distinct().collect()} == {"own"}
     assert Counter((r.doc_id, r.shard) for r in back.select("doc_id", "shard").collect()) == Counter(
         (i, jump(i or 0, 3)) for i, _ in EDGE)
