@@ -8,8 +8,9 @@ which are then packed into sequences.
 Defined cases, for every stage: a row is named by its id and text, so null ids and repeated
 ids are rows of their own; rows that repeat id and text are one document, of which near_duplicates
 keeps one row; a null or empty text has no n-grams (its score is that of the constant alone), is
-linked with nothing, holds no passage and no personal data, and is packed as its end id alone; an empty table gives an empty table. Further
-columns are passed on unchanged up to packing, whatever their names.
+linked with nothing, holds no passage and no personal data, and is packed as its end id alone; an
+empty table gives an empty table. Further columns are passed on unchanged up to packing, whatever
+their names.
 """
 
 from __future__ import annotations
