@@ -42,6 +42,30 @@ def test_results_are_those_of_brute_force(spark, at_once):
     assert sorted(map(tuple, got), key=str) == brute(rows(), 50)
 
 
+def test_few_vectors_are_fetched(spark):
+    rng = np.random.default_rng(4)
+    made = [(i, [float(np.float32(x)) for x in rng.normal(size=8)]) for i in range(4000)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>").repartition(4)
+    tally = []
+    got = top_k(df, F.col("vec_id") % 500 == 0, tally=tally).collect()
+    assert sorted(map(tuple, got), key=str) == brute(made, 500)
+    fetched, scored = (sum(t) for t in zip(*tally))
+    assert fetched <= scored <= 8 * 30 and fetched < 0.06 * len(made)
+
+
+def test_batches_go_on_to_the_rest(spark):
+    """Nearly equal vectors share cells, so that bounds tell nothing and all must be fetched."""
+    rng = np.random.default_rng(5)
+    base = 100.0
+    made = [(i, [base + float(x) / 256 for x in rng.integers(0, 2, 8)]) for i in range(900)]
+    made += [(1000, [-9000.0] * 8), (1001, [9000.0] * 8), ((1 << 63) - 1, [9000.0] * 8)]
+    df = spark.createDataFrame(made, "vec_id long, embedding array<float>")
+    tally = []
+    got = top_k(df, F.col("vec_id") % 300 == 0, tally=tally).collect()
+    assert sorted(map(tuple, got), key=str) == brute(made, 300)
+    assert len(tally) == 3
+
+
 def test_nothing(spark):
     df = spark.createDataFrame([], "vec_id long, embedding array<float>")
     assert top_k(df, F.col("vec_id") % 50 == 0).collect() == []
