@@ -6,10 +6,10 @@ from pyspark.sql import functions as F
 
 from meterlens.catalog.base import Query, located, rounded, selected, sql
 from meterlens.config import LAGS, ROLLING, WEATHER_FEATURES
-from meterlens.functions.calendar import add_holiday_flag, add_time_features, holiday_calendar
+from meterlens.functions.calendar import add_holiday_flag, add_time_features
 from meterlens.operators import filters, profiles, scores
 from meterlens.operators.fills import fill_weather, hourly_grid
-from meterlens.operators.joins import enrich
+from meterlens.operators.joins import enrich, join_buildings, join_observations
 from meterlens.operators.ranks import chronological_split, contiguous_folds
 from meterlens.operators.windows import (
     add_history_features, add_sequence_statistics, add_sequences,
@@ -153,9 +153,18 @@ def _rational(numerator: int, denominator: int, name: str) -> str:
     return f"((t * {above} + n * {below}) // (2 * n * {below}))::double / 10000 as {name}"
 
 
+def _weather_asof(spark, d):
+    """Weather from observations alone, equal to the join on the filled hours of all sites."""
+    sited = join_buildings(selected(spark, d), filled_buildings(tables.buildings(spark, d))).select(
+        "building_id", "timestamp", "meter_reading", "site_id")
+    span = tables.weather_span(spark, d)
+    return rounded(join_observations(
+        sited, tables.weather_observations(spark, d), span["first"], span["last"]))
+
+
 def _holidays(spark, d):
     days = selected(spark, d)
-    flagged = add_holiday_flag(days, holiday_calendar(spark))
+    flagged = add_holiday_flag(days)
     return rounded(flagged.groupBy(F.to_date("timestamp").alias("day"), "is_holiday").agg(
         F.count("*").alias("n"), F.avg("meter_reading").alias("mean_load")
     ))
@@ -234,6 +243,11 @@ READINGS = {
             f"round({c}, 6) as {c}" for c in WEATHER_FEATURES) + " from filled_weather",
             "filled_weather"),
     ),
+    "weather_asof": Query(
+        _weather_asof,
+        sql("select building_id, timestamp, meter_reading, site_id, " + ", ".join(
+            f"round({c}, 6) as {c}" for c in WEATHER_FEATURES) + " from located", "located"),
+    ),
     "enriched_readings": Query(
         lambda s, d: rounded(enrich(
             filters.positive(filters.target_meter(tables.readings(s, d))).drop("meter"),

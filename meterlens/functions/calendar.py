@@ -2,6 +2,9 @@
 
 from __future__ import annotations
 
+from functools import reduce
+from operator import or_
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -70,6 +73,8 @@ FLOATING_DAYS = [
     ("Columbus Day", 10, "Mon", 2, 1971),
     ("Thanksgiving", 11, "Thu", 4, 1942),
 ]
+# As Spark numbers them.
+WEEKDAYS = {"Mon": 0, "Tue": 1, "Wed": 2, "Thu": 3, "Fri": 4, "Sat": 5, "Sun": 6}
 
 
 def _fixed_dates() -> str:
@@ -118,8 +123,32 @@ def holiday_calendar(spark: SparkSession, first_year: int = 1990, last_year: int
     )
 
 
-def add_holiday_flag(df: DataFrame, calendar: DataFrame, ts: str = "timestamp") -> DataFrame:
-    """``is_holiday`` 0/1: is the calendar date of ``ts`` in the calendar?"""
+def is_holiday(day: Column) -> Column:
+    """Is the date a federal holiday or the weekday it is observed on? Holds for every year."""
+
+    def fixed(date: Column) -> Column:
+        rules = [
+            (F.month(date) == month) & (F.dayofmonth(date) == nth) & (F.year(date) >= since)
+            for _, month, nth, since in FIXED_DAYS
+        ]
+        return reduce(or_, rules)
+
+    def floating(month: int, name: str, n: int, since: int) -> Column:
+        # The n-th weekday of its month, or the one whose next is in another month.
+        nth = F.dayofmonth(day) > F.dayofmonth(F.last_day(day)) - 7 if n == 0 else \
+            F.ceil(F.dayofmonth(day) / 7) == n
+        return (F.month(day) == month) & (F.weekday(day) == WEEKDAYS[name]) & nth & (F.year(day) >= since)
+
+    friday_before = (F.weekday(day) == WEEKDAYS["Fri"]) & fixed(F.date_add(day, 1))
+    monday_after = (F.weekday(day) == WEEKDAYS["Mon"]) & fixed(F.date_sub(day, 1))
+    moving = [floating(*rule) for _, *rule in FLOATING_DAYS]
+    return F.coalesce(reduce(or_, moving, fixed(day) | friday_before | monday_after), F.lit(False))
+
+
+def add_holiday_flag(df: DataFrame, calendar: DataFrame | None = None, ts: str = "timestamp") -> DataFrame:
+    """``is_holiday`` 0/1: is the date of ``ts`` a federal holiday, or in ``calendar`` if given?"""
+    if calendar is None:
+        return df.withColumn("is_holiday", is_holiday(F.to_date(ts)).cast("int"))
     days = bounded_broadcast(calendar.select(F.col("date").alias("_date")))
     return (
         df.join(days, F.to_date(ts) == F.col("_date"), "left")

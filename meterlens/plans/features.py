@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import DoubleType, FloatType, IntegerType, LongType
 
 from meterlens.config import ABLATION_GROUPS, TARGET
-from meterlens.functions.calendar import add_holiday_flag, add_time_features, holiday_calendar
+from meterlens.functions.calendar import add_holiday_flag, add_time_features
 from meterlens.operators.fills import fill_medians, fill_weather
 from meterlens.operators.filters import lodging, select_readings
 from meterlens.operators.joins import enrich
@@ -50,8 +50,7 @@ def feature_matrix(
     """
     kept = select_readings(readings, buildings, ids).select("building_id", "timestamp", TARGET)
     joined = enrich(add_history_features(kept), filled_buildings(buildings), fill_weather(weather))
-    days = calendar if calendar is not None else holiday_calendar(readings.sparkSession)
-    return add_log_target(add_time_features(add_holiday_flag(joined, days)))
+    return add_log_target(add_time_features(add_holiday_flag(joined, calendar)))
 
 
 def run_pipeline(

@@ -2,8 +2,12 @@
 
 from __future__ import annotations
 
+import queue
+import time
+import uuid
 from collections.abc import Callable
 
+from pyspark import InheritableThread
 from pyspark.ml import Pipeline, PipelineModel
 from pyspark.ml.feature import VectorAssembler
 from pyspark.ml.functions import array_to_vector
@@ -180,20 +184,51 @@ def ablation(
 
 
 def train_suite(
-    spark: SparkSession, members: dict[str, Callable[[], DataFrame]]
+    spark: SparkSession,
+    members: dict[str, Callable[[], DataFrame]],
+    timeout: float | None = None,
+    parallel: int = 3,
 ) -> tuple[dict[str, DataFrame], DataFrame]:
-    """Run every member to its end; a failing one becomes a status row, the rest go on.
+    """Run every member to its end; one that fails or hangs becomes a status row, the rest go on.
 
-    Predictions are written as they are made, so a fault while scoring belongs to its member.
+    ``parallel`` members run at a time, each in a scheduler pool and a job group of its own.
+    One that takes more than ``timeout`` seconds is given up: its jobs are cancelled, and so
+    are those it would still start. Predictions are written as they are made, so a fault while
+    scoring belongs to its member. Status is (model, status, message), status being ok, failed
+    or timeout, in the order of ``members``.
     """
-    results, status = {}, []
-    for name, member in members.items():
+    context, suite = spark.sparkContext, uuid.uuid4().hex
+    ended: queue.Queue = queue.Queue()
+
+    def run(name: str) -> None:
+        context.setJobGroup(f"{suite}-{name}", f"member {name}", interruptOnCancel=True)
+        context.setLocalProperty("spark.scheduler.pool", name)
         try:
-            results[name] = settle(member())
-            status.append((name, "ok", ""))
+            ended.put((name, "ok", "", settle(members[name]())))
         except Exception as error:  # noqa: BLE001 - any member may fail on its own
-            status.append((name, "failed", str(error)))
-    return results, spark.createDataFrame(status, "model string, status string, message string")
+            ended.put((name, "failed", str(error), None))
+
+    waiting, running = list(members), {}
+    results, status = {}, {}
+    while waiting or running:
+        while waiting and len(running) < parallel:
+            name = waiting.pop(0)
+            running[name] = time.monotonic()
+            InheritableThread(target=run, args=(name,), daemon=True, session=spark).start()
+        try:
+            left = None if timeout is None else min(running.values()) + timeout - time.monotonic()
+            name, state, message, table = ended.get(timeout=None if left is None else max(left, 0))
+            if running.pop(name, None) is not None:  # else it was given up before
+                status[name] = state, message
+                if state == "ok":
+                    results[name] = table
+        except queue.Empty:
+            late = min(running, key=running.get)
+            del running[late]
+            context._jsc.sc().cancelJobGroupAndFutureJobs(f"{suite}-{late}")
+            status[late] = "timeout", f"not ended after {timeout} seconds"
+    rows = [(name, *status[name]) for name in members]
+    return results, spark.createDataFrame(rows, "model string, status string, message string")
 
 
 def save_model(model: PipelineModel, path: str) -> None:

@@ -22,6 +22,7 @@ def build_session(app: str = "meterlens", master: str | None = None, **conf) ->
         builder = builder.master(master)
     defaults = {
         "spark.sql.session.timeZone": "UTC",
+        "spark.scheduler.mode": "FAIR",
         "spark.sql.adaptive.enabled": "true",
         "spark.sql.adaptive.skewJoin.enabled": "true",
         "spark.sql.execution.arrow.pyspark.enabled": "true",

@@ -6,7 +6,7 @@ Each function returns a lazy DataFrame. ``events`` become hourly readings,
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from meterlens.operators.filters import positive, target_meter
@@ -98,9 +98,9 @@ def weather_observations(spark: SparkSession, folder: str) -> DataFrame:
     )
 
 
-def weather(spark: SparkSession, folder: str) -> DataFrame:
-    """Every hour of every site from the first to the last event; mostly NULL."""
-    span = (
+def weather_span(spark: SparkSession, folder: str) -> Column:
+    """Struct of the hours of the first and last event, as a scalar."""
+    return (
         _events(spark, folder)
         .agg(
             F.struct(
@@ -110,6 +110,11 @@ def weather(spark: SparkSession, folder: str) -> DataFrame:
         )
         .scalar()
     )
+
+
+def weather(spark: SparkSession, folder: str) -> DataFrame:
+    """Every hour of every site from the first to the last event; mostly NULL."""
+    span = weather_span(spark, folder)
     grid = (
         _customers(spark, folder)
         .select(F.col("c_nationkey").alias("site_id"))

@@ -2,7 +2,11 @@ import datetime as dt
 
 import pytest
 
-from meterlens.functions.calendar import add_holiday_flag, add_time_features, holiday_calendar
+from pyspark.sql import functions as F
+
+from meterlens.functions.calendar import (
+    add_holiday_flag, add_time_features, holiday_calendar, is_holiday,
+)
 
 COLUMNS = "id int, timestamp timestamp_ntz"
 
@@ -41,3 +45,16 @@ def test_holiday_flag_keeps_rows(spark):
     )
     flagged = add_holiday_flag(table, holiday_calendar(spark))
     assert [r["is_holiday"] for r in flagged.orderBy("id").collect()] == [1, 0]
+
+
+def test_holidays_of_all_years(spark):
+    """The rule on a date names the days that the table of holidays lists, centuries away too."""
+    days = spark.sql("select explode(sequence(date'1860-01-01', date'2230-12-31')) as date")
+    ruled = {r[0] for r in days.filter(is_holiday(F.col("date"))).collect()}
+    assert ruled == {r["date"] for r in holiday_calendar(spark, 1860, 2230).collect()}
+    assert {dt.date(1985, 12, 25), dt.date(2061, 12, 26)} <= ruled  # 2061: a Sunday is observed
+
+
+def test_no_time_is_no_holiday(spark):
+    table = spark.createDataFrame([(1, None), (2, dt.datetime(1985, 12, 25, 3))], COLUMNS)
+    assert [r["is_holiday"] for r in add_holiday_flag(table).orderBy("id").collect()] == [0, 1]

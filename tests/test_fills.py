@@ -5,6 +5,7 @@ from pyspark.sql import functions as F
 
 from meterlens.operators.fills import fill_along_time, fill_medians, fill_weather, hourly_grid
 from meterlens.sources.readers import nan_to_null
+from meterlens.operators.joins import join_observations, join_weather
 from tests.conftest import rows
 
 
@@ -91,3 +92,32 @@ def test_a_stray_year_makes_no_giant_row(spark):
     grid = hourly_grid(df)
     assert grid.count() == 24 * 366 + 3 + 1
     assert grid.filter("meter_reading = 2.0").count() == 1
+
+
+def test_observations_as_of_a_reading_equal_filled_hours(spark, sizing):
+    """Sparse observations joined as of each reading, against every hour filled and joined."""
+    random = np.random.default_rng(11)
+    hours = pd.date_range("2016-02-27", periods=400, freq="h")
+    schema = "site_id int, timestamp timestamp_ntz, air_temperature double, wind_speed double"
+
+    def value():
+        return None if random.random() < 0.5 else float(random.normal())
+
+    seen = [(site, hours[int(h)].to_pydatetime(), value(), value())
+            for site, n in ((1, 60), (2, 3), (3, 1)) for h in sorted(random.choice(400, n, replace=False))]
+    seen += [(4, hours[9].to_pydatetime(), None, None)]
+    observed = spark.createDataFrame(seen, schema)
+    grid = spark.createDataFrame(
+        [(s, h.to_pydatetime()) for s in (1, 2, 3, 4, 5) for h in hours], "site_id int, timestamp timestamp_ntz")
+    outside = [hours[0] - pd.Timedelta(hours=1), hours[-1] + pd.Timedelta(hours=1)]
+    asked = spark.createDataFrame(
+        [(k, s, t and t.to_pydatetime()) for k, (s, t) in enumerate(
+            (s, t) for s in (1, 2, 3, 4, 5, 6, None) for t in [*hours, *outside, None])],
+        "id int, site_id int, timestamp timestamp_ntz").withColumn("_carried", F.lit("own"))
+    every = fill_weather(grid.join(observed, ["site_id", "timestamp"], "left"))
+    want = join_weather(asked, every)
+    first, last = (F.lit(h.to_pydatetime()).cast("timestamp_ntz") for h in (hours[0], hours[-1]))
+    got = join_observations(asked, observed, first, last, **sizing)
+    pd.testing.assert_frame_equal(rows(got.select(*want.columns), "id"), rows(want, "id"))
+    none = join_observations(asked, observed.limit(0), first, last)
+    assert none.filter("air_temperature <> 0 or wind_speed <> 0").isEmpty() and none.count() == asked.count()

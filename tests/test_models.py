@@ -1,3 +1,5 @@
+import time
+
 import numpy as np
 import pandas as pd
 import pytest
@@ -111,3 +113,28 @@ def test_suite_survives_a_failing_member(spark, matrix):
     assert set(results) == {"linear"}
     got = {r["model"]: (r["status"], r["message"]) for r in status.collect()}
     assert got["broken"] == ("failed", "no such estimator") and got["linear"][0] == "ok"
+
+
+def test_hanging_members_are_given_up(spark):
+    started = time.monotonic()
+
+    def hanging():
+        def wait(frames):
+            for frame in frames:
+                time.sleep(120)
+                yield frame
+
+        return spark.range(4).mapInPandas(wait, "id long")
+
+    results, status = models.train_suite(spark, {
+        "hanging": hanging, "asleep": lambda: time.sleep(120), "first": lambda: spark.range(3),
+        "broken": lambda: spark.range(3).select("nothing"), "last": lambda: spark.range(5),
+    }, timeout=15, parallel=3)
+    assert time.monotonic() - started < 60
+    assert {n: r.count() for n, r in results.items()} == {"first": 3, "last": 5}
+    assert [(r.model, r.status) for r in status.collect()] == [
+        ("hanging", "timeout"), ("asleep", "timeout"), ("first", "ok"), ("broken", "failed"), ("last", "ok")]
+    deadline = time.monotonic() + 20
+    while spark.sparkContext.statusTracker().getActiveJobsIds() and time.monotonic() < deadline:
+        time.sleep(0.5)
+    assert not spark.sparkContext.statusTracker().getActiveJobsIds()
