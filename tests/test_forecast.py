@@ -4,7 +4,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from meterlens.config import ORDER_GRID, SeasonalParams
-from meterlens.functions.arma import lagged_gram
+from meterlens.functions.arma import lagged_gram, stable, stable_rows
 from meterlens.plans import forecast
 from tests import dense_arma
 
@@ -167,3 +167,38 @@ def test_order_search(meters):
     best = forecast.best_orders(scores)
     low = {r[0]: r[1] for r in scores.groupBy("building_id").agg(F.min("aic")).collect()}
     assert {r["building_id"]: r["aic"] for r in best.collect()} == low
+
+
+def test_a_series_in_stretches_has_the_same_models(spark, monkeypatch):
+    whole = forecast.fit_orders(_meters(spark, SERIES)).orderBy("building_id", "p", "d", "q").collect()
+    monkeypatch.setattr(forecast, "STRETCH", 64)
+    cut = forecast.fit_orders(_meters(spark, SERIES)).orderBy("building_id", "p", "d", "q").collect()
+    for a, b in zip(whole, cut, strict=True):
+        assert (a["method"], a["n"], a["last_y"]) == (b["method"], b["n"], b["last_y"])
+        if a["building_id"] not in (5, 8):  # nothing is left there to compare
+            for c in ("phi", "theta", "x_tail", "e_tail"):
+                assert a[c] == pytest.approx(b[c], rel=1e-6, abs=1e-8)
+            assert (a["aic"] or 0) == pytest.approx(b["aic"] or 0, rel=1e-8)
+
+
+def test_no_row_stands_for_an_hour_or_a_series(spark):
+    """Two readings ten years apart: rows by stretch, and in each the runs of its hours and those before."""
+    meters = spark.createDataFrame(pd.DataFrame({
+        "building_id": [1, 1, 1], "meter_reading": [3.0, 4.0, 9.0],
+        "timestamp": pd.to_datetime(["2000-01-01", "2000-01-01 05:00", "2010-01-01"]),
+    }), "building_id long, meter_reading double, timestamp timestamp_ntz")
+    runs = forecast.history_runs(meters, None)
+    assert [r["y"] for r in runs.orderBy("timestamp").collect()] == [3.0, 4.0, 9.0]
+    rows = forecast._stretches(runs, 10).orderBy("stretch").collect()
+    assert len(rows) == pytest.approx(87_672 / forecast.STRETCH, abs=2)
+    assert all(r["end"] - r["begin"] < forecast.STRETCH + 10 for row in rows for r in row["runs"])
+    assert sum(min(r["end"] - r["begin"], r["end"] - row["stretch"]) + 1
+               for row in rows for r in row["runs"] if r["end"] >= row["stretch"]) == 87_672 + 1
+
+
+def test_explosive_rows_are_those_that_are_pulled_back():
+    random, lags = np.random.default_rng(6), [1, 2, 24, 25, 26]
+    rows = random.normal(0, 0.4, (300, len(lags)))
+    want = np.array([stable(r, lags) for r in rows])
+    assert 0 < (want == rows).all(axis=1).sum() < 300
+    assert stable_rows(rows, lags) == pytest.approx(want)
