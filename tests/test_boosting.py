@@ -1,5 +1,6 @@
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 import pytest
 
 from meterlens.config import BoostParams
@@ -132,3 +133,11 @@ def test_edges(spark):
     assert model.start == 5 and all(len(t.feature) == 1 for t in model.trees)
     with pytest.raises(ValueError, match="training"):
         boosting.fit_boosted(spark.createDataFrame([], SCHEMA), FEATURES)
+
+
+def test_a_task_makes_histograms_of_many_batches_at_once():
+    batch = pa.RecordBatch.from_arrays([pa.array(range(100))], names=["a"])
+    sizes = [b.num_rows for b in boosting.blocks([batch] * 25, rows=1000)]
+    assert sizes == [1000, 1000, 500] and not list(boosting.blocks([]))
+    again = pa.concat_batches(list(boosting.blocks([batch] * 25, rows=1000)))
+    assert again.column("a").to_pylist() == list(range(100)) * 25
