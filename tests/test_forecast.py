@@ -185,7 +185,7 @@ def test_no_row_stands_for_an_hour_or_a_series(spark):
     """Two readings ten years apart: rows by stretch, and in each the runs of its hours and those before."""
     meters = spark.createDataFrame(pd.DataFrame({
         "building_id": [1, 1, 1], "meter_reading": [3.0, 4.0, 9.0],
-        "timestamp": pd.to_datetime(["2000-01-01", "2000-01-01 05:00", "2010-01-01"]),
+        "timestamp": pd.to_datetime(["2000-01-01 00:00", "2000-01-01 05:00", "2010-01-01 00:00"]),
     }), "building_id long, meter_reading double, timestamp timestamp_ntz")
     runs = forecast.history_runs(meters, None)
     assert [r["y"] for r in runs.orderBy("timestamp").collect()] == [3.0, 4.0, 9.0]
