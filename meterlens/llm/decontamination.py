@@ -88,7 +88,8 @@ def positional_index(
     """The stored index of documents (key, doc_id, text): (key, doc_id, n_words, postings).
 
     A posting has the term, its position, and up to ``window`` - 1 words on either side
-    from position ``near_from``.
+    from position ``near_from``. These are one string, the words parted by spaces (no word
+    holds one), so that a batch of documents is read back as one value for each posting.
     """
     def postings(w: Column) -> Column:
         at = F.filter(
@@ -98,7 +99,9 @@ def positional_index(
             F.get(w, k).alias("term"),
             k.alias("position"),
             F.greatest(k - (window - 1), F.lit(0)).alias("near_from"),
-            F.slice(w, F.greatest(k - (window - 2), F.lit(1)), F.lit(2 * window - 1)).alias("near"),
+            F.concat_ws(
+                " ", F.slice(w, F.greatest(k - (window - 2), F.lit(1)), F.lit(2 * window - 1))
+            ).alias("near"),
         )).alias("postings"))
 
     return settle(
@@ -127,7 +130,7 @@ def phrase_matches(index: DataFrame, windows: DataFrame) -> DataFrame:
     return (
         first.filter(within >= 0)
         .join(second, ["key", "phrase_id", "start"])
-        .filter(F.slice("near", within + 1, F.size("phrase")) == F.col("phrase"))
+        .filter(F.slice(F.split("near", " "), within + 1, F.size("phrase")) == F.col("phrase"))
         .select("key", "phrase_id", "start", F.size("phrase").alias("length"))
     )
 

@@ -1,6 +1,7 @@
 import hashlib
 import re
 
+import pyarrow.parquet as pq
 import pytest
 
 from meterlens.llm import decontamination as D
@@ -62,3 +63,23 @@ def test_proximity(spark):
     index = D.positional_index(keyed, ["alpha", "beta"])
     near = D.proximity_matches(index, windows, 2).join(index.select("key", "doc_id"), "key")
     assert sorted(r.doc_id for r in near.collect()) == [1, 2, 3]
+
+
+def test_index_holds_one_value_of_neighbours_for_each_posting(spark):
+    docs = make(spark, [(1, SOME + " fox"), (2, None), (3, "no such word"), (4, "Füchse, FOX"), (5, "hill")])
+    keyed = docs.select(F.monotonically_increasing_id().alias("key"), "doc_id", "text").coalesce(1)
+    index = D.positional_index(keyed, ["fox", "hill"], 4)
+    rows = index.select("doc_id", "n_words", F.explode("postings").alias("p")).select("doc_id", "n_words", "p.*")
+    want = []
+    for doc, text in [(1, SOME + " fox"), (4, "Füchse, FOX"), (5, "hill")]:
+        w = words(text)
+        want += [(doc, len(w), term, k, max(k - 3, 0), " ".join(w[max(k - 3, 0):k + 4]))
+                 for k, term in enumerate(w) if term in ("fox", "hill")]
+    assert sorted(map(tuple, rows.collect())) == sorted(want)
+    stored = 0  # values of neighbours in the files: one for each posting and each empty list
+    for path in index.inputFiles():
+        file = pq.ParquetFile(path.split(":", 1)[1].replace("///", "/")).metadata
+        for group in range(file.num_row_groups):
+            for c in (file.row_group(group).column(k) for k in range(file.num_columns)):
+                stored += c.num_values if "near" in c.path_in_schema.split(".") else 0
+    assert stored == len(want) + 2
