@@ -3,6 +3,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
+from meterlens.catalog import learning
 from meterlens.config import BoostParams
 from meterlens.plans import boosting
 from meterlens.plans.boosting import BINS, Tree, best_split, chance, chosen_columns, leaf_value
@@ -141,3 +142,53 @@ def test_a_task_makes_histograms_of_many_batches_at_once():
     assert sizes == [1000, 1000, 500] and not list(boosting.blocks([]))
     again = pa.concat_batches(list(boosting.blocks([batch] * 25, rows=1000)))
     assert again.column("a").to_pylist() == list(range(100)) * 25
+
+
+@pytest.mark.parametrize("p", [
+    BoostParams(trees=6, early_stop=0, leaves=9, depth=6, min_rows=5),
+    BoostParams(trees=3, early_stop=0, leaves=None, depth=7, min_rows=1),
+], ids=["leaves", "depth"])
+def test_trees_do_not_depend_on_the_shares(spark, monkeypatch, p):
+    rows = spark.createDataFrame(_table(700, 5), SCHEMA)
+    one = boosting.fit_boosted(rows, FEATURES, p)
+    monkeypatch.setattr(boosting, "ONE_SHARE", 100)
+    monkeypatch.setattr(boosting, "SHARE_ROWS", 150)
+    monkeypatch.setattr(boosting, "AT_ONCE", 3)
+    monkeypatch.setattr(boosting, "TOGETHER", 2)
+    monkeypatch.setattr(boosting, "CUT", 2)
+    many = boosting.fit_boosted(rows.repartition(4), FEATURES, p)
+    assert [_shape(t) for t in many.trees] == [_shape(t) for t in one.trees]
+    assert many.errors == pytest.approx(one.errors)
+
+
+def test_trees_of_a_table_that_is_one_share_take_no_further_jobs(spark):
+    rows = spark.createDataFrame(_table(300, 1), SCHEMA)
+    context = spark.sparkContext
+    jobs = []
+    for trees in (2, 300):
+        context.setJobGroup(f"fit {trees}", "")
+        model = boosting.fit_boosted(rows, FEATURES, BoostParams(trees=trees, early_stop=0, depth=4, min_rows=5))
+        assert len(model.trees) == trees
+        jobs.append(len(context.statusTracker().getJobIdsForGroup(f"fit {trees}")))
+    context.setLocalProperty("spark.jobGroup.id", None)
+    assert jobs[0] == jobs[1]
+
+
+def _params(monkeypatch, name: str) -> BoostParams:
+    """Parameters that a registered query fits with."""
+    class Asked(Exception):
+        pass
+
+    def fit(matrix, features, p=BoostParams()):
+        raise Asked(p)
+
+    monkeypatch.setattr(learning, "_matrix", lambda s, d: (None, []))
+    monkeypatch.setattr(boosting, "fit_boosted", fit)
+    with pytest.raises(Asked) as asked:
+        learning.LEARNING[name].run(None, "")
+    return asked.value.args[0]
+
+
+def test_leafwise_trees_is_the_whole_model(monkeypatch):
+    assert _params(monkeypatch, "leafwise_trees") == BoostParams()
+    assert (BoostParams().trees, BoostParams().early_stop, BoostParams().leaves, BoostParams().depth) == (1000, 50, 63, 10)
