@@ -192,3 +192,8 @@ def _params(monkeypatch, name: str) -> BoostParams:
 def test_leafwise_trees_is_the_whole_model(monkeypatch):
     assert _params(monkeypatch, "leafwise_trees") == BoostParams()
     assert (BoostParams().trees, BoostParams().early_stop, BoostParams().leaves, BoostParams().depth) == (1000, 50, 63, 10)
+
+
+def test_penalised_trees_is_the_whole_model(monkeypatch):
+    assert _params(monkeypatch, "penalised_trees") == BoostParams(
+        trees=1000, depth=8, leaves=None, early_stop=0, min_rows=1, row_fraction=0.8, column_fraction=0.8)
