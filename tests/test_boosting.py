@@ -1,3 +1,6 @@
+import os
+from urllib.parse import urlparse
+
 import numpy as np
 import pandas as pd
 import pyarrow as pa
@@ -7,6 +10,7 @@ from meterlens.catalog import learning
 from meterlens.config import BoostParams
 from meterlens.plans import boosting
 from meterlens.plans.boosting import BINS, Tree, best_split, chance, chosen_columns, leaf_value
+from meterlens.session import shared_folder
 
 FEATURES = ["a", "b", "c", "d", "e"]
 
@@ -144,6 +148,13 @@ def test_a_task_makes_histograms_of_many_batches_at_once():
     assert again.column("a").to_pylist() == list(range(100)) * 25
 
 
+def _cuts(spark) -> set[str]:
+    """Folders of lineages that were cut."""
+    shared_folder(spark)
+    top = urlparse(spark.sparkContext.getCheckpointDir()).path
+    return {name for name in os.listdir(top) if name.startswith("rdd-")} if os.path.isdir(top) else set()
+
+
 @pytest.mark.parametrize("p", [
     BoostParams(trees=6, early_stop=0, leaves=9, depth=6, min_rows=5),
     BoostParams(trees=3, early_stop=0, leaves=None, depth=7, min_rows=1),
@@ -156,7 +167,9 @@ def test_trees_do_not_depend_on_the_shares(spark, monkeypatch, p):
     monkeypatch.setattr(boosting, "AT_ONCE", 3)
     monkeypatch.setattr(boosting, "TOGETHER", 2)
     monkeypatch.setattr(boosting, "CUT", 2)
+    before = _cuts(spark)
     many = boosting.fit_boosted(rows.repartition(4), FEATURES, p)
+    assert _cuts(spark) == before
     assert [_shape(t) for t in many.trees] == [_shape(t) for t in one.trees]
     assert many.errors == pytest.approx(one.errors)
 
